@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexweave.llm import bpe, simhash, token_file, url_filter
+from lexweave.llm import bpe, line_dedup, secret_scan, simhash, token_file, url_filter
 from lexweave.llm.shared import Scratch
 
 #: Where the public vocabulary lies; the same path on every executor.
@@ -25,6 +26,11 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_tokens(spark, path)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(_table(spark, sf_dir, "documents"), Scratch(spark))
+    return out.select("doc_id", "n_lines", "n_deleted", "depth", F.md5("text").alias("text_md5"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     return url_filter.judge(pages, RULES, url_filter.link_edges(pages), Scratch(spark)).select("page_id", "host", "path", "rule", "verdict")
@@ -34,12 +40,19 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), Scratch(spark)).select("doc_id", "fingerprint", "component_id")
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, sf_dir, "documents")).drop("all")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+QUERIES = (op1_token_file, op2_line_dedup, op4_url_filter, op8_simhash, op9_secret_scan, op10_bpe)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_file": op1_token_file, "op4_url_filter": op4_url_filter, "op8_simhash": op8_simhash, "op10_bpe": op10_bpe}
+    return {f.__name__: f for f in QUERIES}
 
 
 _HOST = r"translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -47,8 +60,27 @@ _PATH = r"coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
 _RULES = ", ".join(f"('{a}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for a, r in RULES)
 
 
+#: Windows of 1, 2, 4, ... lines: a window is a later copy if the same lines begin at a smaller (doc_id, line).
+_DEPTHS = 16
+_LINES = f"""
+    WITH whole AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+    every AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM whole),
+    l AS (SELECT doc_id, line, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS o, md5(line) AS r0,
+                 len(string_split_regex(trim(line), '\\s+')) AS words FROM every WHERE trim(line) <> ''),
+    {", ".join(f"r{k + 1}s AS (SELECT *, md5(r{k} || lead(r{k}, {1 << k}) OVER (PARTITION BY doc_id ORDER BY o)) AS r{k + 1} FROM {'l' if k == 0 else f'r{k}s'})" for k in range(_DEPTHS))},
+    hit AS ({" UNION ALL ".join(f"SELECT doc_id, o, words, {k} AS k FROM (SELECT doc_id, o, words, row_number() OVER (PARTITION BY r{k} ORDER BY doc_id, o) AS nth FROM r{_DEPTHS}s WHERE r{k} IS NOT NULL) WHERE nth > 1" for k in range(_DEPTHS))}),
+    gone AS (SELECT doc_id, o FROM hit WHERE k = 0 AND words >= {line_dedup.MIN_WORDS} UNION SELECT doc_id, o FROM hit WHERE k = 1 UNION SELECT doc_id, o + 1 FROM hit WHERE k = 1),
+    depth AS (SELECT doc_id, max(1 << k) AS depth FROM hit WHERE k > 0 OR words >= {line_dedup.MIN_WORDS} GROUP BY doc_id),
+    n AS (SELECT doc_id, count(*) AS n_lines, count(g.o) AS n_deleted FROM l LEFT JOIN gone g USING (doc_id, o) GROUP BY doc_id),
+    kept AS (SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.i) AS text FROM every e LEFT JOIN l USING (doc_id, i) LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.o = l.o WHERE g.o IS NULL GROUP BY e.doc_id)
+    SELECT w.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted, coalesce(depth, 0)::BIGINT AS depth,
+           md5(CASE WHEN n_deleted > 0 AND n_deleted = n_lines THEN '' WHEN n_deleted > 0 THEN kept.text ELSE w.text END) AS text_md5
+    FROM whole w LEFT JOIN n USING (doc_id) LEFT JOIN depth USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_line_dedup": _LINES,
         # no page of the tables has a canonical link or a refresh, so the classes are single urls
         "op4_url_filter": f"""
             WITH p AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages), r(act, rule, h, x) AS (VALUES {_RULES}),
