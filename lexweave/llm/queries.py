@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import bpe, line_dedup, secret_scan, simhash, token_file, url_filter
+from lexweave.llm import bpe, decontaminate, line_dedup, secret_scan, simhash, token_file, url_filter
 from lexweave.llm.shared import Scratch
 
 #: Where the public vocabulary lies; the same path on every executor.
@@ -31,6 +31,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_deleted", "depth", F.md5("text").alias("text_md5"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), Scratch(spark))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     return url_filter.judge(pages, RULES, url_filter.link_edges(pages), Scratch(spark)).select("page_id", "host", "path", "rule", "verdict")
@@ -48,7 +52,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
-QUERIES = (op1_token_file, op2_line_dedup, op4_url_filter, op8_simhash, op9_secret_scan, op10_bpe)
+QUERIES = (op1_token_file, op2_line_dedup, op3_decontaminate, op4_url_filter, op8_simhash, op9_secret_scan, op10_bpe)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
