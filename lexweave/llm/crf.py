@@ -222,7 +222,7 @@ def fit(docs: DataFrame, per_label: int = 300, longest: int = 100_000, doc_id: s
         return Crf([], np.zeros((SLOTS, 0)), np.zeros((0, 0)))
     cut = F.lit(None)
     for y, n in counts.items():  # a share of the hash range for each language
-        edge = int(min(1.0, per_label / n) * (2**64 - 1)) - 2**63
+        edge = min(2**63 - 1, int(per_label / n * 2**64) - 2**63)
         cut = F.when(F.col("y") == y, F.lit(edge)).otherwise(cut)
     held = rows.where(F.col("h") <= cut).select("h", "y", "t").orderBy("h").limit(2 * per_label * len(counts)).collect()
     return train([r["t"] for r in held], [r["y"] for r in held])

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import bpe, crf, decontaminate, line_dedup, secret_scan, simhash, token_file, url_filter
+from lexweave.llm import bpe, crf, decontaminate, line_dedup, secret_scan, simhash, token_file, toxicity, url_filter
 from lexweave.llm.shared import Scratch
 
 #: Where the public vocabulary lies; the same path on every executor.
@@ -40,6 +40,14 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, RULES, url_filter.link_edges(pages), Scratch(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    learn = F.coalesce(crf.fold("doc_id", 3) != 1, F.lit(False))
+    model = toxicity.fit(docs.where(learn), labels.where(learn))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", F.coalesce(crf.fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("_held", F.coalesce(crf.fold("doc_id", 5) == 0, F.lit(False)))
     model = crf.fit(docs.where(~F.col("_held") & F.col("doc_id").isNotNull()))
@@ -59,7 +67,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
-QUERIES = (op1_token_file, op2_line_dedup, op3_decontaminate, op4_url_filter, op6_language, op8_simhash, op9_secret_scan, op10_bpe)
+QUERIES = (op1_token_file, op2_line_dedup, op3_decontaminate, op4_url_filter, op5_toxicity, op6_language, op8_simhash, op9_secret_scan, op10_bpe)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
