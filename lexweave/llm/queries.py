@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import bpe, crf, decontaminate, line_dedup, secret_scan, simhash, token_file, toxicity, url_filter
+from lexweave.llm import bpe, crf, decontaminate, line_dedup, projection_index, secret_scan, simhash, token_file, toxicity, url_filter
 from lexweave.llm.shared import Scratch
 
 #: Where the public vocabulary lies; the same path on every executor.
@@ -55,6 +55,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(crf.fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return projection_index.nearest(rows, rows.where("vec_id % 20 = 0"), Scratch(spark))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), Scratch(spark)).select("doc_id", "fingerprint", "component_id")
 
@@ -67,7 +72,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
-QUERIES = (op1_token_file, op2_line_dedup, op3_decontaminate, op4_url_filter, op5_toxicity, op6_language, op8_simhash, op9_secret_scan, op10_bpe)
+QUERIES = (op1_token_file, op2_line_dedup, op3_decontaminate, op4_url_filter, op5_toxicity, op6_language, op7_nearest, op8_simhash, op9_secret_scan, op10_bpe)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
