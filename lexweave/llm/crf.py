@@ -34,7 +34,7 @@ WORD = re.compile(r"[^\W\d_]+")
 def words_of(text: str) -> list[str]:
     """Lower-cased words; none if no character is a letter."""
     w = WORD.findall(text.lower())
-    return w if any(map(str.isalpha, w)) or any(c.isalpha() for x in w for c in x) else []
+    return w if any(map(str.isalpha, w)) or any(c.isalpha() for c in text) else []
 
 
 def features(word: str) -> list[int]:
@@ -245,3 +245,19 @@ def identify(docs: DataFrame, model: Crf, doc_id: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: Crf, least: float, text: str = "text") -> DataFrame:
+    """The rows of docs, whole, whose text has a language with at least this score: a narrow map."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.labels, model.weights.astype(np.float32), model.moves))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crf = Crf(*sent.value)
+        for b in batches:
+            keep = []
+            for _, texts in chunks(b, text):
+                found = crf.predict([words_of(t) for t in texts]) if crf.labels else [("und", 0.0)] * len(texts)
+                keep += [lang != "und" and score >= least for lang, score in found]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
