@@ -6,8 +6,8 @@ distance, so a grid join over the embeddings loses no pair: each distinct finger
 enters its own cell and the cells at Manhattan distance one, and two fingerprints
 within two bits meet in the cell half way. Only fingerprints that share a cell go on.
 
-They are verified exactly, without listing pairs: two fingerprints differ in two or
-fewer bits if and only if some 64-bit value is within one bit of both. So each
+They are verified exactly. In a cell of two, the two are compared. Fuller cells are
+verified without listing pairs: two fingerprints differ in two or fewer bits if and only if some 64-bit value is within one bit of both. So each
 candidate names the 65 values within one bit of itself, and all that name a value are
 linked to the least of them. A group of n near copies costs 65 n rows, not n squared,
 and every link between different fingerprints lies in the components that follow.
@@ -77,12 +77,13 @@ def links(fps: DataFrame) -> DataFrame:
         count, unit = f"(shiftrightunsigned(e, {s}) & 15)", f"shiftleft(1L, {s})"
         near += [f"if({count} < 4, e + {unit}, null)", f"if({count} > 0, e - {unit}, null)"]
     entries = own.select("fp", F.explode(F.expr(f"array({', '.join(near)})")).alias("cell")).where("cell IS NOT NULL")
-    shared = entries.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("cell")
-    candidates = entries.join(shared, "cell").select("fp").distinct()
+    cells = entries.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
+    pairs = cells.where(f"n = 2 AND bit_count(a ^ b) <= {BITS}").select("a", "b")
+    candidates = entries.join(cells.where("n > 2").select("cell"), "cell").select("fp").distinct()
     flips = ", ".join(["fp", *(f"fp ^ shiftleft(1L, {k})" for k in range(64))])
     named = candidates.select("fp", F.explode(F.expr(f"array({flips})")).alias("value"))
     least = named.groupBy("value").agg(F.min("fp").alias("b"), F.max("fp").alias("hi")).where("b <> hi").select("value", "b")
-    return named.join(least, "value").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    return named.join(least, "value").where("fp <> b").select(F.col("fp").alias("a"), "b").union(pairs).distinct()
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 3, doc_id: str = "doc_id", text: str = "text", label: str = "simhash") -> DataFrame:
