@@ -34,20 +34,20 @@ PROBES = [
     (1, "What is Section 9?"),
     (2, "section 14 of the amber harbor trade act"),
     (3, "Compare Birch Valley Trade Act vs Cedar Quarry Trade Act"),
-    (4, "What is the punishment under the Delta Foundry Trade Act?"),
+    (4, "What is the punishment under the Fjord Orchard Trade Act?"),
     (5, "22-A"),
     (6, "explain 33 -A of Ember Canal Trade Act"),
-    (7, "How to file an appeal for the heron market"),
-    (8, "provisions of the Lagoon Works Trade Act about ention"),
+    (7, "How to file an appeal for the indigo port"),
+    (8, "provisions of the Juniper Depot Trade Act about ention"),
     (9, "section 999"),
     (10, "register no 19 and 46 days"),
     (11, "rule 1975"),
     (12, "Which sections relate to thtion ing"),
-    (13, "lagoon wroks trade act"),
+    (13, "junipr depto trade act"),
     (14, "sections 5, article 7 and u/s 8"),
     (15, "§ 12 ation"),
     (16, "tell me about 7.3"),
-    (17, "the HTA in brief"),
+    (17, "the IPT in brief"),
     (18, "kestrel yard"),
 ]
 
