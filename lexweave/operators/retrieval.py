@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from lexweave.functions.text import tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Scores are rounded, so that equal texts tie whatever order their parts are added in.
+PLACES = 9
 RRF_K, DENSE_WEIGHT, BM25_WEIGHT = 60, 0.45, 0.55
 
 
@@ -54,7 +56,7 @@ def bm25(asked: DataFrame, index: Index) -> DataFrame:
     hits = asked.join(index.terms, "term").join(index.postings, "term").join(index.sizes, "chunk_id").crossJoin(F.broadcast(index.corpus))
     tf, share = F.col("tf"), F.col("dl") / F.col("avgdl")
     part = F.col("n_asked") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * share))
-    return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
+    return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), PLACES).alias("score")).where("score > 0")
 
 
 def query_terms(queries: DataFrame, text: str = "query_text", run_ons: bool = True) -> DataFrame:
@@ -80,7 +82,7 @@ def dense(query_vectors: DataFrame, vectors: DataFrame, blocks: int = 32) -> Dat
     """
     q = query_vectors.select("query_id", F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     v = vectors.select("chunk_id", F.col("embedding").alias("v"), F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int").alias("block"))
-    return q.join(v, "block").select("query_id", "chunk_id", dot("q", "v").alias("score"))
+    return q.join(v, "block").select("query_id", "chunk_id", F.round(dot("q", "v"), PLACES).alias("score"))
 
 
 def fuse(dense_hits: DataFrame, lexical_hits: DataFrame) -> DataFrame:
@@ -88,7 +90,7 @@ def fuse(dense_hits: DataFrame, lexical_hits: DataFrame) -> DataFrame:
     none = F.lit(None).cast("double")
     part = lambda df, w, d, x: df.select("query_id", "chunk_id", d.alias("d"), x.alias("x"), (w / (RRF_K + F.col("rank"))).alias("f"))
     both = part(dense_hits, DENSE_WEIGHT, F.col("score"), none).unionByName(part(lexical_hits, BM25_WEIGHT, none, F.col("score")))
-    return both.groupBy("query_id", "chunk_id").agg(F.coalesce(F.max("d"), F.lit(0.0)).alias("dense_score"), F.coalesce(F.max("x"), F.lit(0.0)).alias("lexical_score"), F.sum("f").alias("fused_score"))
+    return both.groupBy("query_id", "chunk_id").agg(F.coalesce(F.max("d"), F.lit(0.0)).alias("dense_score"), F.coalesce(F.max("x"), F.lit(0.0)).alias("lexical_score"), F.round(F.sum("f"), 12).alias("fused_score"))
 
 
 def coverage(candidates: DataFrame, k: int = 10, floor: float = 0.45) -> DataFrame:

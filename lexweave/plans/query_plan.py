@@ -62,7 +62,7 @@ def parse_expansion(raw: Column) -> Column:
 def expansion_terms(parsed: Column) -> Column:
     """Anchors, concepts and synonyms, the first spelling of each, joined by spaces."""
     every = F.flatten(F.transform(F.array(parsed["concepts"], parsed["synonyms"], parsed["statute_anchors"]), lambda a: F.coalesce(a, F.array().cast("array<string>"))))
-    own = F.filter(F.transform(every, F.trim), lambda t: t.isNotNull() & (t != ""))
+    own = F.filter(F.transform(every, lambda t: F.trim(t)), lambda t: t.isNotNull() & (t != ""))
     first = F.filter(own, lambda t, i: F.array_position(F.transform(own, F.lower), F.lower(t)) == i + 1)
     return F.array_join(first, " ")
 

@@ -11,6 +11,7 @@ from lexweave.functions.text import words
 from lexweave.operators import catalog as C
 from lexweave.operators import retrieval as R
 from lexweave.plans import query_plan as Q
+from lexweave.session import reused
 
 FINAL, SCAN = 10, 15
 
@@ -84,7 +85,7 @@ def search(plan: DataFrame, cat: DataFrame, chunks: DataFrame, index: R.Index, q
     lexical = R.top(R.bm25(R.query_terms(plan, "search_text", run_ons), index).join(size, "query_id"), F.col("k_channel"), 48)
     fused = R.top(R.fuse(dense, lexical).join(size, "query_id"), F.col("k_fused"), 36, "fused_score")
 
-    named = Q.named_documents(plan, cat)
+    named = reused(Q.named_documents(plan, cat))
     where = chunks.select("chunk_id", "document_id")
     marks = fused.join(where, "chunk_id").join(named.withColumn("hit", F.lit(True)), ["query_id", "document_id"], "left").join(plan.select("query_id", "target_document", "intent", "section"), "query_id")
     scan = scan_section(plan.where("intent <> 'comparison'"), named, chunks)
@@ -94,7 +95,7 @@ def search(plan: DataFrame, cat: DataFrame, chunks: DataFrame, index: R.Index, q
     marks = marks.join(scan.select("query_id", F.lit(True).alias("scanned")).distinct(), "query_id", "left")
     # strict: the named document's candidates; if none, the scan's; if none, all
     kept = marks.withColumn("any_hit", any_hit).where(~strict | (F.col("any_hit") & F.coalesce("hit", F.lit(False))) | (~F.col("any_hit") & F.col("scanned").isNull()))
-    pool = upsert(kept, scan, "scan")
+    pool = reused(upsert(kept, scan, "scan"))
 
     pool = pool.join(where, "chunk_id").join(named.withColumn("hit", F.lit(2.0)), ["query_id", "document_id"], "left")
     kin = C.related(cat).select(F.col("document_id").alias("target_document"), F.col("related_id").alias("document_id"), F.lit(1.35).alias("kin"))

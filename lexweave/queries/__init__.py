@@ -21,6 +21,6 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def load() -> dict[str, tuple[Query, str | None]]:
-    from lexweave.queries import catalog, structure, text  # noqa: F401
+    from lexweave.queries import catalog, chat, context, search, structure, text  # noqa: F401
 
     return REGISTRY

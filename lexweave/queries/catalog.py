@@ -10,6 +10,7 @@ from lexweave.functions.patterns import ABBREVIATIONS
 from lexweave.operators import catalog as C
 from lexweave.queries import query
 from lexweave.queries import sqltext as S
+from lexweave.session import reused
 from lexweave.sources import files
 
 FILES = [
@@ -71,7 +72,7 @@ def act_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def act_catalog(spark: SparkSession, d: str) -> DataFrame:
-    return C.catalog(act_chunks(spark, d))
+    return reused(C.catalog(act_chunks(spark, d)))
 
 
 _STEM = S.stem("document_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -29,3 +30,8 @@ def local_session(cpus: int | None = None, memory: str = "8g", **conf: str) -> S
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def reused(df: DataFrame) -> DataFrame:
+    """df, kept by the executors because a plan reads it several times; lost blocks are computed anew."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
