@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -33,5 +33,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def reused(df: DataFrame) -> DataFrame:
-    """df, kept by the executors because a plan reads it several times; lost blocks are computed anew."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """df, written once to the checkpoint folder, for plans that read it many times.
+
+    The copy is a leaf: neither its rows nor its logical plan are worked out again for each use. The
+    folder is the cluster's spark.checkpoint.dir; a local session without one gets a temporary folder.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            base = tempfile.mkdtemp(prefix="lexweave-")
+        sc.setCheckpointDir(base)
+    return df.checkpoint()
