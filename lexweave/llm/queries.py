@@ -43,7 +43,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     learn = F.coalesce(crf.fold("doc_id", 3) != 1, F.lit(False))
-    model = toxicity.fit(docs.where(learn), labels.where(learn))
+    model = toxicity.fit(docs.where(learn), labels.where(learn), Scratch(spark))
     out = toxicity.score(docs, model)
     return out.select("doc_id", F.coalesce(crf.fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.llm.bpe import chunks
+from lexweave.llm.shared import Scratch
 
 SLOTS = 1 << 17
 WORD = re.compile(r"[^\W\d_]+")
@@ -41,7 +42,7 @@ class Model:
     bias: float = 0.0
     scale: float = 1.0
     shift: float = 0.0
-    cache_size: int = 300_000
+    cache_size: int = 150_000
     cache: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
     def margin(self, text: str) -> float:
@@ -73,32 +74,22 @@ def _packed(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(rows) if rows else np.zeros(0, np.int64)), np.cumsum(size) - size
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, least: int = 10, lift: float = 3.0, epochs: int = 12, batch: int = 512, rate: float = 0.02, decay: float = 1e-3, seed: int = 7) -> Model:
-    """Fit by Adam on mini-batches of P and U, each text given by its sorted distinct slots; a fifth of each is kept for calibration.
-
-    least, lift: a slot takes part if so many texts of P have it, and its share of P is lift times that of U.
-    """
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], held_p: list[np.ndarray], held_u: list[np.ndarray], prior: float, epochs: int = 12, batch: int = 512, rate: float = 0.02, decay: float = 1e-3, seed: int = 7) -> Model:
+    """Fit by Adam on mini-batches of P and U, each text given by its distinct slots; held_p and held_u calibrate."""
     rng = np.random.default_rng(seed)
     model = Model(np.zeros(SLOTS))
     if not positive or not unlabelled:
         model.bias = -1.0
         return model
-    ip, iu = rng.permutation(len(positive)), rng.permutation(len(unlabelled))
-    cp, cu = max(1, len(ip) // 5), max(1, len(iu) // 5)
-    tp, tu = (ip[cp:] if len(ip) > cp else ip), (iu[cu:] if len(iu) > cu else iu)
-    share_of = lambda rows, at: np.bincount(np.concatenate([rows[i] for i in at]), minlength=SLOTS)
-    in_p, in_u = share_of(positive, tp), share_of(unlabelled, tu)
-    part = (in_p >= min(least, max(2, len(tp) // 10))) & (in_p / len(tp) >= lift * (in_u + 1) / len(tu))
-    positive, unlabelled = [f[part[f]] for f in positive], [f[part[f]] for f in unlabelled]
     w, b = model.weights, float(np.log(prior / (1 - prior)))
     m1, m2, b1, b2, step = np.zeros(SLOTS), np.zeros(SLOTS), 0.0, 0.0, 0
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     soft = lambda z: np.logaddexp(0, z)
     for _ in range(epochs):
-        order = rng.permutation(tu)
+        order = rng.permutation(len(unlabelled))
         for k in range(0, len(order), batch):
             u = [unlabelled[i] for i in order[k : k + batch]]
-            p = [positive[i] for i in rng.choice(tp, min(len(tp), batch // 2), replace=False)]
+            p = [positive[i] for i in rng.choice(len(positive), min(len(positive), batch // 2), replace=False)]
             flat, first = _packed(p + u)
             z = margins(flat, first, w, b)
             zp, zu = z[: len(p)], z[len(p) :]
@@ -118,10 +109,10 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
             b2 += 0.01 * (g.sum() ** 2 - b2)
             w -= rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-5)
             b -= rate * (b1 / (1 - 0.9**step)) / (np.sqrt(b2 / (1 - 0.99**step)) + 1e-5)
-    w[~part] = 0
+    w[np.bincount(np.concatenate(positive + unlabelled), minlength=SLOTS) == 0] = 0
     model.bias = b
-    zp = np.sort(margins(*_packed([positive[i] for i in ip[:cp]]), w, b))
-    zu = np.sort(margins(*_packed([unlabelled[i] for i in iu[:cu]]), w, b))
+    zp = np.sort(margins(*_packed(held_p or positive), w, b))
+    zu = np.sort(margins(*_packed(held_u or unlabelled), w, b))
     cuts = np.unique(np.concatenate([zp, zu]))
     recall = 1 - np.searchsorted(zp, cuts) / len(zp)
     share = 1 - np.searchsorted(zu, cuts) / len(zu)
@@ -133,7 +124,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
 
 
 def feature_rows(docs: DataFrame, text: str) -> DataFrame:
-    """(y, f): the distinct slots of each text, for a bounded sample."""
+    """(y, held, f): the distinct slots of each text, for a bounded sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,34 +132,53 @@ def feature_rows(docs: DataFrame, text: str) -> DataFrame:
             for t in b.column("t").to_pylist():
                 words = set(WORD.findall((t or "").lower()))
                 rows.append(np.array(sorted({s for x in words for s in slots(x)}), np.int32))
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(rows, pa.list_(pa.int32()))], names=["y", "f"])
+            yield pa.RecordBatch.from_arrays([b.column("y"), b.column("held"), pa.array(rows, pa.list_(pa.int32()))], names=["y", "held", "f"])
 
-    return docs.select("y", docs[text].alias("t")).mapInArrow(run, "y int, f array<int>")
+    return docs.select("y", "held", docs[text].alias("t")).mapInArrow(run, "y int, held boolean, f array<int>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 6000, longest: int = 50_000, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model:
-    """A model from docs and labels (doc_id, toxic), of which a bounded sample is brought to the driver.
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, positives: int = 3000, unlabelled: int = 6000, longest: int = 50_000, least: int = 10, lift: float = 3.0, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model:
+    """A model from a bounded sample of docs and labels (doc_id, toxic).
 
     positives, unlabelled: about so many texts of each kind, those with the smallest id hashes; longest:
     texts of more characters are not in the sample, the others are in it whole. P: documents that
-    a label marks toxic. U: any documents, their labels hidden. The prior is the toxic share
-    of all labels given. Conflicting labels of a document count as toxic; null ones as none.
+    a label marks toxic. U: any documents, their labels hidden. A fifth of both is held out for
+    calibration. least, lift: a slot takes part if so many texts of P have it, and its share of P is
+    lift times that of U; slots are counted where the texts are, so only those that take part reach
+    the driver. The prior is the toxic share of all labels given. Conflicting labels of a document
+    count as toxic; null ones as none.
     """
     known = labels.where(F.col(toxic).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(toxic).alias("_y"))
     n, pos = known.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0))).first()
-    prior = min(0.9, max(0.001, pos / n)) if n else 0.0
     if not n or not pos:
-        return train([], [], prior)
-    sized = docs.where(F.length(text) <= longest).withColumn("_h", F.xxhash64(doc_id))
+        return train([], [], [], [], 0.5)
+    prior = min(0.9, max(0.001, pos / n))
+    sized = docs.where(F.length(text) <= longest).withColumn("_h", F.xxhash64(doc_id)).withColumn("held", F.pmod(F.xxhash64(doc_id, F.lit(1)), F.lit(5)) == 0)
     total = sized.count()
     edge = lambda share: min(2**63 - 1, int(share * 2**64) - 2**63)
     own = known.where((F.col("_y") == 1) & (F.xxhash64("_id") <= edge(positives / pos))).select("_id")
-    p = sized.join(own, sized[doc_id] == own["_id"], "left_semi").limit(2 * positives).withColumn("y", F.lit(1))
-    u = sized.where(F.col("_h") <= edge(unlabelled / max(1, total))).limit(2 * unlabelled).withColumn("y", F.lit(0))
-    rows = feature_rows(p.select("y", text).union(u.select("y", text)), text).toPandas()
-    by = {k: [np.asarray(f, np.int64) for f in rows.f[rows.y == k]] for k in (0, 1)}
-    order = lambda x: sorted(x, key=lambda f: (len(f), f.tobytes()))  # noqa: E731  whatever order the rows came in
-    return train(order(by[1]), order(by[0]), prior)
+    p = sized.join(own, sized[doc_id] == own["_id"], "left_semi").withColumn("y", F.lit(1))
+    u = sized.where(F.col("_h") <= edge(unlabelled / max(1, total))).withColumn("y", F.lit(0))
+    rows = scratch.store(feature_rows(p.select("y", "held", text).union(u.select("y", "held", text)), text), "toxicity-features")
+    n_p, n_u = rows.where("NOT held").agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
+    if not n_p or not n_u:
+        return train([], [], [], [], prior)
+    counts = rows.where("NOT held").select("y", F.explode("f").alias("s")).groupBy("s").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("u"))
+    part = counts.where((F.col("p") >= min(least, max(2, n_p // 10))) & (F.col("p") / n_p >= lift * (F.col("u") + 1) / n_u)).select("s").toPandas().s.to_numpy()
+    use = np.zeros(SLOTS, bool)
+    use[part.astype(np.int64)] = True
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cut = [x[use[x]] for x in (np.asarray(f, np.int64) for f in b.column("f").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("y"), b.column("held"), pa.array([x.astype(np.int32) for x in cut], pa.list_(pa.int32()))], names=["y", "held", "f"])
+
+    local = rows.mapInArrow(keep, "y int, held boolean, f array<int>").limit(4 * (positives + unlabelled)).toPandas()
+    # in one order, whatever order the rows came in
+    of = lambda y, held: sorted((np.asarray(f, np.int64) for f in local.f[(local.y == y) & (local.held == held)]), key=lambda f: (len(f), f.tobytes()))
+    model = train(of(1, False), of(0, False), of(1, True), of(0, True), prior)
+    scratch.drop(rows)
+    return model
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
