@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from lexweave.llm.words import pieces
@@ -43,7 +44,7 @@ class Bpe:
     cache_size: words whose ids are kept; when full, the cache starts anew, so memory is bounded.
     """
 
-    def __init__(self, path: str, cache_size: int = 300_000):
+    def __init__(self, path: str, cache_size: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if spec.get("normalizer") or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space") or spec["model"]["type"] != "BPE" or spec["model"].get("ignore_merges"):
@@ -189,20 +190,20 @@ def bpe(path: str) -> Bpe:
     return Bpe(path)
 
 
-#: Characters of text taken together, which bounds a worker's memory.
-CHUNK = 2_000_000
+#: Bytes of text taken together, which bounds a worker's memory.
+CHUNK = 600_000
 
 
 def chunks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[str]]]:
-    """Runs of the batch's texts (null: empty) of about CHUNK characters: (first row, texts)."""
-    texts = [t or "" for t in batch.column(column).to_pylist()]
-    first = size = 0
-    for k, t in enumerate(texts):
-        if size and size + len(t) > CHUNK:
-            yield first, texts[first:k]
-            first, size = k, 0
-        size += len(t)
-    yield first, texts[first:]
+    """Runs of the batch's texts (null: empty) of about CHUNK bytes: (first row, texts). Only a run at a time is in Python."""
+    texts = batch.column(column)
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(texts):
+        done = int(size[first - 1]) if first else 0
+        end = max(first + 1, int(np.searchsorted(size, done + CHUNK, side="right")))
+        yield first, [t or "" for t in texts.slice(first, end - first).to_pylist()]
+        first = end
 
 
 def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
@@ -219,8 +220,6 @@ def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
         own = bpe(path)
         for b in batches:
             for first, texts in chunks(b, "text"):
-                if not texts:
-                    continue
                 codes = own.encode_batch(texts)
                 back = [own.decode(x) for x in codes]
                 cols = [b.column("doc_id").slice(first, len(texts)), pa.array([len(x) // 4 for x in codes], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in codes]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back])]

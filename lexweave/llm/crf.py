@@ -1,7 +1,7 @@
 """Language ID by a linear-chain conditional random field over words.
 
 A word's score for a language is the sum of learned weights of its features: the word
-itself (the lexicon), its affixes and its character n-grams, hashed to a fixed number
+itself (the lexicon), its affixes and its n-grams of bytes, hashed to a fixed number
 of slots. Learned transition weights connect neighbouring words, and forward-backward
 gives each word its marginal, so code-switched texts are labelled word by word. A
 document's language is the one with the largest mean marginal over its whole text.
@@ -16,7 +16,6 @@ more per word than many short ones.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,7 +26,8 @@ from pyspark.sql import functions as F
 
 from lexweave.llm.bpe import chunks
 
-SLOTS, BLOCK = 1 << 16, 32
+SLOT_BITS, BLOCK = 16, 32
+SLOTS = 1 << SLOT_BITS
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -37,13 +37,51 @@ def words_of(text: str) -> list[str]:
     return w if any(map(str.isalpha, w)) or any(c.isalpha() for c in text) else []
 
 
-def features(word: str) -> list[int]:
-    """Slots of the word's lexicon, affix and n-gram features."""
-    w = f"<{word[:40]}>"
-    parts = ["=" + word]
-    parts += ["^" + w[:n] for n in (2, 3, 4)] + ["$" + w[-n:] for n in (2, 3, 4, 5)]
-    parts += [w[i : i + 2] for i in range(len(w) - 1)] + [w[i : i + 3] for i in range(len(w) - 2)]
-    return [zlib.crc32(p.encode()) & SLOTS - 1 for p in parts]
+def slots(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the features of words, and which of them each word has: (words, features) arrays.
+
+    The word's bytes between marks, 60 at most, give its lexicon feature, prefixes of 2 to 4 bytes,
+    suffixes of 2 to 5, and all runs of two and three; hashes are computed for all words together.
+    """
+    raw = [b"<" + w.encode()[:60] + b">" for w in words]
+    size = np.array([len(r) for r in raw])
+    width = max(6, int(size.max()))
+    m = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in raw), np.uint8).reshape(-1, width).astype(np.uint32)
+    grow, col = np.uint32(0x01000193), np.arange(width)
+    mix = lambda h, salt: ((h ^ np.uint32(salt)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)
+    whole = np.full(len(raw), 0x811C9DC5, np.uint32)
+    prefix, out, valid = {}, [], []
+    for j in range(width):
+        whole = np.where(j < size, (whole ^ m[:, j]) * grow, whole)
+        prefix[j + 1] = whole
+    out.append(mix(whole, 1)[:, None])
+    valid.append(np.ones((len(raw), 1), bool))
+    for n in (2, 3, 4):
+        out.append(mix(prefix[n], 10 + n)[:, None])
+        valid.append((size >= n)[:, None])
+    row = np.arange(len(raw))
+    for n in (2, 3, 4, 5):
+        h = np.full(len(raw), n, np.uint32)
+        for j in range(n, 0, -1):
+            h = (h ^ m[row, np.maximum(size - j, 0)]) * grow
+        out.append(mix(h, 20 + n)[:, None])
+        valid.append((size >= n)[:, None])
+    for n in (2, 3):
+        h = np.full((len(raw), width - n + 1), n, np.uint32)
+        for j in range(n):
+            h = (h ^ m[:, j : width - n + 1 + j]) * grow
+        out.append(mix(h, 30 + n))
+        valid.append(col[None, : width - n + 1] + n <= size[:, None])
+    return np.concatenate(out, 1).astype(np.int64), np.concatenate(valid, 1)
+
+
+def scores(words: list[str], weights: np.ndarray) -> np.ndarray:
+    """Summed weights (words, labels) of each word's features."""
+    parts = []
+    for k in range(0, len(words), 4096):
+        at, has = slots(words[k : k + 4096])
+        parts.append(np.einsum("nfk,nf->nk", weights[at], has.astype(weights.dtype)))
+    return np.concatenate(parts)
 
 
 @dataclass
@@ -51,7 +89,7 @@ class Crf:
     labels: list[str]
     weights: np.ndarray  # (SLOTS, labels)
     moves: np.ndarray  # (labels, labels)
-    cache_size: int = 300_000
+    cache_size: int = 100_000
     cache: dict[str, int] = field(default_factory=dict)
     rows: np.ndarray | None = None
 
@@ -62,18 +100,16 @@ class Crf:
             self.cache.clear()
             self.rows, new = None, list({w for t in texts for w in t})
         if new:
-            slots = [features(w) for w in new]
-            size = np.array([len(s) for s in slots])
-            made = np.add.reduceat(self.weights[np.concatenate(slots)], np.cumsum(size) - size, axis=0)
+            made = scores(new, self.weights)
             first = 0 if self.rows is None else len(self.rows)
             self.rows = made if first == 0 else np.concatenate([self.rows, made])
             self.cache.update(zip(new, range(first, first + len(new)), strict=True))
         get = self.cache.__getitem__
         return self.rows[np.fromiter((i for t in texts for i in map(get, t)), np.int64, sum(map(len, texts)))]
 
-    def marginals(self, scores: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def marginals(self, emitted: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Marginals (words, labels) of the words of sequences of these sizes (each over 0), and where each sequence begins."""
-        n, k = scores.shape
+        n, k = emitted.shape
         per = -(-sizes // BLOCK)
         first = np.cumsum(per) - per
         total = int(per.sum())
@@ -81,7 +117,7 @@ class Crf:
         seq = np.repeat(np.arange(len(sizes)), sizes)
         where = first[seq] * BLOCK + (np.arange(n) - begin[seq])
         e = np.ones((total * BLOCK, k))
-        e[where] = np.exp(scores - scores.max(1, keepdims=True))
+        e[where] = np.exp(emitted - emitted.max(1, keepdims=True))
         real = np.zeros(total * BLOCK, bool)
         real[where] = True
         e, real = e.reshape(total, BLOCK, k), real.reshape(total, BLOCK)
@@ -145,7 +181,6 @@ def train(texts: list[str], langs: list[str], sequences: int = 3000, length: int
     by = [[w for w, y in own if y == k] for k in range(len(labels))]
     by = [x for x in by if x]
     kinds = [k for k in range(len(labels)) if any(y == k for _, y in own)]
-    slot_of: dict[str, list[int]] = {}
     data = []
     for _ in range(sequences):
         seq, gold = [], []
@@ -163,14 +198,8 @@ def train(texts: list[str], langs: list[str], sequences: int = 3000, length: int
         order = rng.permutation(len(data))
         for b in range(0, len(data), batch):
             part = [data[i] for i in order[b : b + batch]]
-            slots = []
-            for seq, _ in part:
-                for w in seq:
-                    if (s := slot_of.get(w)) is None:
-                        s = slot_of[w] = features(w)
-                    slots.append(s)
-            size = np.array([len(s) for s in slots])
-            flat = np.concatenate(slots)
+            at, has = slots([w for seq, _ in part for w in seq])
+            flat, size = at[has], has.sum(1)
             e = np.add.reduceat(crf.weights[flat], np.cumsum(size) - size, axis=0).reshape(len(part), length, k)
             gold = np.array([y for _, y in part])
             a = np.exp(crf.moves)

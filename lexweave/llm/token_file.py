@@ -33,7 +33,7 @@ class LibraryEncoder:
     encoded once; texts with a special token go through the library whole.
     """
 
-    def __init__(self, path: str, cache_size: int = 300_000):
+    def __init__(self, path: str, cache_size: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
