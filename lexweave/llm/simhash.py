@@ -94,8 +94,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 3, doc_id: st
     rows each give a row. Only narrow rows are shuffled: never a text.
     """
     own = scratch.store(fingerprints(docs, size, doc_id, text), f"{label}-fp")
+    return grouped(own, scratch.store(links(own), f"{label}-links"), scratch, label)
+
+
+def grouped(own: DataFrame, edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
+    """The result of near_duplicates from fingerprints of rows (doc_id, fp) and stored edges between fingerprints."""
     first = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    cc = scratch.store(components(scratch.store(links(own), f"{label}-links"), scratch, label), f"{label}-cc")
+    cc = scratch.store(components(edges, scratch, label), f"{label}-cc")
     joined = first.join(cc.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     joined = scratch.store(joined, f"{label}-classes")
     least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -104,15 +109,90 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 3, doc_id: st
     return out.select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, scratch: Scratch, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that are the first of their component, with the columns of docs; of rows that repeat such an id in one component, one.
+BANDS = 16
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """Keys that two sets of shingles of similarity 0.8 or more very likely share.
+
+    The hash range is dealt into 2^k parts so that a part holds four to eight shingles, and again into
+    twice as many; the first BANDS parts of both give a key each, of all shingles in it. Sizes of similar
+    sets differ by a fifth at most, so they have one of the two levels in common, where a part is
+    untouched by the differing shingles with a chance of 0.3 or more.
+    """
+    own = np.unique(hashes)
+    if not len(own):
+        return []
+    level, out = max(0, int(np.log2(len(own) / 4)) if len(own) > 4 else 0), []
+    mixed = own * np.uint64(0x9E3779B97F4A7C15)
+    for k in (level, level + 1):
+        part = mixed >> np.uint64(64 - k) if k else np.zeros(len(own), np.uint64)
+        for j in range(min(BANDS, 1 << k)):
+            if len(held := own[part == j]):
+                x = (int(np.bitwise_xor.reduce(held * np.uint64(0xC2B2AE3D27D4EB4F))) ^ int(held.sum()) * 31 ^ k << 56 ^ j << 48) & (1 << 64) - 1
+                out.append(x - (1 << 64) if x >> 63 else x)
+    return out
+
+
+def sketches(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, fp, keys): a narrow map."""
+    kind = dict(docs.dtypes)[doc_id]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, keys = [], []
+            for _, texts in chunks(b, "text"):
+                for t in texts:
+                    h = shingle_hashes(t, size)
+                    fps.append(fingerprint(h))
+                    keys.append(band_keys(h))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "keys"])
+
+    return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint, keys array<bigint>")
+
+
+def similar_links(docs: DataFrame, own: DataFrame, scratch: Scratch, size: int, similarity: float, doc_id: str, text: str) -> DataFrame:
+    """Edges (a, b) between fingerprints of texts that share a band and whose sets of shingles have at least this Jaccard similarity.
+
+    own: stored sketches. One document stands for each fingerprint; in each band it is paired with
+    the band's least fingerprint, so a group of n near copies gives n pairs a band, not n squared.
+    Every pair is verified on the whole sets. Texts are read again for paired documents only.
+    """
+    one = own.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min_by("keys", "doc_id").alias("keys"))
+    named = one.select("fp", F.explode("keys").alias("key"))
+    least = named.groupBy("key").agg(F.min("fp").alias("b"), F.max("fp").alias("hi")).where("b <> hi").select("key", "b")
+    pairs = scratch.store(named.join(least, "key").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct(), "band-pairs")
+    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(one.select("fp", "doc_id"), "fp")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [np.unique(shingle_hashes(t, size)).view(np.int64) for _, texts in chunks(b, "text") for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array(rows, pa.list_(pa.int64()))], names=["fp", "hs"])
+
+    texts = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).join(wanted, "doc_id").select("fp", "text")
+    held = scratch.store(texts.mapInArrow(sets, "fp bigint, hs array<bigint>").dropDuplicates(["fp"]), "band-sets")
+    both = pairs.join(held.select(F.col("fp").alias("a"), F.col("hs").alias("ha")), "a").join(held.select(F.col("fp").alias("b"), F.col("hs").alias("hb")), "b")
+    shared = F.size(F.array_intersect("ha", "hb"))
+    return both.where(shared >= similarity * (F.size("ha") + F.size("hb") - shared)).select("a", "b")
+
+
+def keep_first(docs: DataFrame, scratch: Scratch, size: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that are the first of their group, with the columns of docs.
 
-    Rows without a doc_id can't be told apart and stay.
+    Groups are the components over links of both kinds: fingerprints within two bits, and shingle sets
+    of at least this similarity, which 64 bits within a radius of two can't tell. Of rows that
+    repeat a doc_id with the same text one stays. Rows without a doc_id can't be told apart and stay.
     """
-    near = scratch.store(near_duplicates(docs, scratch, size, doc_id, text, "keep"), "keep-near")
-    gone = near.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id), "fp").distinct()
-    repeated = near.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL")
-    if repeated.isEmpty():
-        return docs.join(gone.select(doc_id), doc_id, "left_anti").select(docs.columns)
-    with_fp = docs.withColumn("_fp", F.xxhash64(text))
-    return with_fp.join(gone.select(doc_id), doc_id, "left_anti").dropDuplicates([doc_id, "_fp"]).select(docs.columns)
+    own = scratch.store(sketches(docs, size, doc_id, text), "keep-fp")
+    edges = scratch.store(links(own).union(similar_links(docs, own, scratch, size, similarity, doc_id, text)).distinct(), "keep-links")
+    near = scratch.store(grouped(own, edges, scratch, "keep"), "keep-near")
+    gone = near.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    repeated = near.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    kept = docs.join(gone, doc_id, "left_anti").select(docs.columns)
+    return kept if repeated.isEmpty() else _once(kept, doc_id, text)
+
+
+def _once(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """docs with one of the rows that repeat both doc_id and text; rows without an id stay."""
+    known = docs.where(F.col(doc_id).isNotNull()).withColumn("_t", F.xxhash64(text)).dropDuplicates([doc_id, "_t"]).drop("_t")
+    return known.unionByName(docs.where(F.col(doc_id).isNull()))
