@@ -64,6 +64,8 @@ def deleted_lines(rounds: list[DataFrame], min_words: int = MIN_WORDS) -> DataFr
     """(doc, key, lines, depth): for each document with later copies, the non-blank lines to delete, and the deepest round that found one, in lines.
 
     A later copy of 2^k lines is covered by those of two lines, so the first two rounds give the lines.
+    Copies that overlap in one document leave what precedes the first later one: of a line repeated
+    over and over, one stays.
     """
     if not rounds:
         return None

@@ -24,6 +24,8 @@ from lexweave.llm.bpe import chunks
 from lexweave.llm.words import pieces
 
 END = 2
+#: Most segments whose start positions are broadcast; beyond, the join shuffles.
+BROADCAST_SEGMENTS = 1_000_000
 
 
 class LibraryEncoder:
@@ -135,5 +137,7 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
                     cols.append(pa.array([flat[a : a + n] for a, n in zip(at.tolist(), counts.tolist(), strict=True)], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * ids)
 
+    if sizes.count() <= BROADCAST_SEGMENTS:  # 24 bytes each
+        starts = F.broadcast(starts)
     joined = segments.drop("n_tokens").join(starts, ["part", "seq"])
     return joined.mapInArrow(run, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<bigint>" if ids else ""))
