@@ -12,6 +12,32 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+MESSAGE = {"id": "bigint", "conversation_id": "bigint", "role": "string", "content": "string", "thinking": "string", "sections": "string", "rating": "int", "created_at": "timestamp"}
+
+
+def migrated(messages: DataFrame) -> DataFrame:
+    """messages with all columns of the present schema; those that an older table lacks are null."""
+    have = set(messages.columns)
+    return messages.select(*((F.col(c) if c in have else F.lit(None).cast(t)).alias(c) for c, t in MESSAGE.items()))
+
+
+def added(messages: DataFrame, new: DataFrame) -> DataFrame:
+    """messages and new ones, whose ids go on after the largest in the order of their created_at."""
+    top = messages.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    nth = F.row_number().over(Window.orderBy("created_at", "conversation_id", "content"))  # one batch of new messages
+    return migrated(messages).unionByName(migrated(new.crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + nth)))
+
+
+def renamed(conversations: DataFrame, conversation_id: int, user_id: int, title: str) -> DataFrame:
+    """conversations with a new title for one, if it is this user's."""
+    mine = (F.col("id") == conversation_id) & (F.col("user_id") == user_id)
+    return conversations.withColumn("title", F.when(mine, title).otherwise(F.col("title")))
+
+
+def logged_out(sessions: DataFrame, token: str) -> DataFrame:
+    return sessions.where(F.col("token") != token)
+
+
 def find_user(users: DataFrame, name: str) -> DataFrame:
     """Users whose name or email is this, A-Z in either case."""
     want = lower_ascii(F.lit(name))

@@ -16,7 +16,10 @@ MAX_CHARS, OVERLAP = 2000, 250
 
 
 def split_words(text: str, limit: int = MAX_CHARS, overlap: int = OVERLAP) -> list[str]:
-    """Windows of words of up to limit characters; each begins with as many of the last words as overlap holds."""
+    """Windows of words of up to limit characters; each begins with as many of the last words as overlap holds.
+
+    The next word always joins that beginning, so a window can be longer than the limit by the overlap.
+    """
     out: list[str] = []
     held: list[str] = []
     size = -1  # of held, joined

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +32,18 @@ def in_heading(path: Column, section: Column) -> Column:
 
 
 def section_boost(c: dict[str, Column]) -> Column:
-    """Factor for the section a question asks for, its relatives and its amendments."""
+    """Factor for the section a question asks for, its relatives and its amendments.
+
+    c may hold amendment_target_sections and amendment_sections, arrays that a caller's metadata gives.
+    """
     norm, raw, target = sections.normalize(c["section_number"]), c["section_number"], c["section"]
     has = raw.isNotNull()
     exact = has & (norm == target)
     body = (F.length(c["text"]) >= 250) | c["text"].rlike(r"(?i)\(\d+\)|\bshall\b|\bmay\b|\bmeans\b")
-    own = F.when(exact, F.when(body, 3.0 * 1.4).otherwise(3.0)).otherwise(1.0)
+    holds = lambda name, f: F.coalesce(F.exists(c[name], lambda x: f(x) == target), F.lit(False)) if name in c else F.lit(False)
+    amends, mentioned = holds("amendment_target_sections", lambda x: x), holds("amendment_sections", sections.normalize)
+    matched = F.coalesce(exact, F.lit(False)) | amends
+    own = F.when(matched, 3.0).when(mentioned, 2.5).otherwise(1.0) * F.when((matched | mentioned) & body, 1.4).otherwise(1.0)
     above = F.when(has & (F.coalesce(target == c["parent_section"], F.lit(False)) | F.coalesce(F.array_contains(c["section_hierarchy"], target), F.lit(False))), 1.8).otherwise(1.0)
     below = F.when(has & raw.startswith(target) & (raw != target), 1.5).otherwise(1.0)
     amended = F.when(has & F.coalesce(c["amendments_detected"], F.lit(False)), 1.6).otherwise(1.0)
@@ -72,6 +79,17 @@ def upsert(candidates: DataFrame, extra: DataFrame, score: str) -> DataFrame:
     return both.groupBy("query_id", "chunk_id").agg(F.max("dense_score").alias("dense_score"), F.max("lexical_score").alias("lexical_score"), F.max("fused_score").alias("fused_score"))
 
 
+def rerank(results: DataFrame, chunks: DataFrame, model=None) -> DataFrame:
+    """results with rerank_score: null, or of a model called with lists (questions, texts); the order stays.
+
+    results: (query_id, chunk_id, query_text, ...).
+    """
+    if model is None:
+        return results.withColumn("rerank_score", F.lit(None).cast("double"))
+    run = F.pandas_udf(lambda q, t: pd.Series(model(q.tolist(), t.tolist()), dtype=float), "double")
+    return results.join(chunks.select("chunk_id", F.col("text").alias("_t")), "chunk_id").withColumn("rerank_score", run("query_text", "_t")).drop("_t")
+
+
 def search(plan: DataFrame, cat: DataFrame, chunks: DataFrame, index: R.Index, query_vectors: DataFrame, vectors: DataFrame, run_ons: bool = True) -> DataFrame:
     """(query_id, rank, chunk_id, document_id, dense_score, lexical_score, fused_score): the FINAL best of each query.
 
@@ -103,7 +121,8 @@ def search(plan: DataFrame, cat: DataFrame, chunks: DataFrame, index: R.Index, q
     pool = pool.withColumn("fused_score", F.col("fused_score") * F.coalesce("hit", F.lit(1.0)) * F.coalesce("kin", F.lit(1.0)))
     pool = upsert(pool, recover_topic(plan, named, chunks, index), "topic")
 
-    facts = ["document_id", "title", "source_path", "text", "section_number", "parent_section", "section_hierarchy", "amendments_detected", "amendment_references"]
+    extra = [c for c in ("amendment_target_sections", "amendment_sections") if c in chunks.columns]
+    facts = [*extra, "document_id", "title", "source_path", "text", "section_number", "parent_section", "section_hierarchy", "amendments_detected", "amendment_references"]
     full = pool.join(chunks.select("chunk_id", *facts), "chunk_id").join(plan.select("query_id", "query_text", "section", "intent"), "query_id")
     boost = section_boost({c: F.col(c) for c in [*facts, "section"]}) * (1.0 + 0.55 * affinity(F.col("query_text"), F.col("title"), F.col("source_path")))
     full = full.withColumn("fused_score", F.when(F.col("section").isNotNull(), F.col("fused_score") * boost).otherwise(F.col("fused_score")))

@@ -176,12 +176,12 @@ def scan_discover(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def text_load(spark: SparkSession, d: str) -> DataFrame:
-    return files.read_texts(spark, files.discover(spark, [_folder()])).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.md5(F.col("pages")[0]).alias("text_md5"))
+    return files.read_texts(files.discover(spark, [_folder()])).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.md5(F.col("pages")[0]).alias("text_md5"))
 
 
 @query()
 def sidecar_join(spark: SparkSession, d: str) -> DataFrame:
     """Documents of the folder with their sidecars' metadata."""
     root = _folder()
-    pages = files.with_sidecars(files.read_texts(spark, files.discover(spark, [root])), files.sidecars(spark, [root]))
+    pages = files.with_sidecars(files.read_texts(files.discover(spark, [root])), files.sidecars(spark, [root]))
     return files.assemble(pages).select("file_name", "title", F.col("page_count").cast("bigint").alias("page_count"), "document_type", "document_group_id", F.array_join("search_aliases", "|").alias("aliases"))

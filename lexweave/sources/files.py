@@ -29,34 +29,32 @@ def collection_name(model: str, override: str | None = None) -> str:
 
 
 def discover(spark: SparkSession, roots: list[str], allowed: list[str] = EXTENSIONS, fallback: list[str] | None = None) -> DataFrame:
-    """(path, length, modificationTime) of files below the roots whose extension is allowed, in any case; no sidecars.
+    """(path, modificationTime, length, content) of files below the roots whose extension is allowed, in any case; no sidecars.
 
-    Roots that are missing are skipped; fallback roots are used if nothing is found. Content is not read.
+    Roots that are missing, or lie below another one, are skipped; fallback roots are used if nothing
+    is found. Content is read only where a later step selects it.
     """
     every = None
-    for root in roots:
+    for root in dict.fromkeys(r.rstrip("/") for r in roots):
+        if any(root.startswith(f"{r.rstrip('/')}/") for r in roots):
+            continue
         try:
-            df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).drop("content")
+            df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
         except AnalysisException:
             continue
         every = df if every is None else every.unionByName(df)
     if every is None:
-        every = spark.createDataFrame([], "path string, modificationTime timestamp, length bigint")
+        every = spark.createDataFrame([], "path string, modificationTime timestamp, length bigint, content binary")
     low = F.lower("path")
-    ext = F.regexp_extract(low, r"(\.[^./]+)$", 1)
-    out = every.where(ext.isin(allowed) & ~low.endswith(".meta.json")).dropDuplicates(["path"])
-    return discover(spark, fallback, allowed) if fallback and out.isEmpty() else out
+    out = every.where(F.regexp_extract(low, r"(\.[^./]+)$", 1).isin(allowed) & ~low.endswith(".meta.json"))
+    return discover(spark, fallback, allowed) if fallback and out.select("path").isEmpty() else out
 
 
-def read_texts(spark: SparkSession, files: DataFrame) -> DataFrame:
+def read_texts(files: DataFrame) -> DataFrame:
     """(path, pages) of discovered files: one page of text, or the pages of a PDF if a reader library is there.
 
     Bytes that are not UTF-8 are left out. Files without a reader give no pages.
     """
-    paths = [r["path"] for r in files.select("path").toLocalIterator()]
-    if not paths:
-        return spark.createDataFrame([], "path string, pages array<string>")
-    raw = spark.read.format("binaryFile").load(paths).select("path", "content")
 
     @F.pandas_udf("array<string>")
     def pages(path: pd.Series, content: pd.Series) -> pd.Series:
@@ -73,22 +71,26 @@ def read_texts(spark: SparkSession, files: DataFrame) -> DataFrame:
 
         return pd.Series([one(p, b) for p, b in zip(path, content, strict=True)])
 
-    return raw.select("path", pages("path", "content").alias("pages"))
+    return files.select("path", pages("path", "content").alias("pages"))
 
 
 def sidecars(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """(sidecar, fields) of all ``.meta.json`` files; malformed ones have null fields."""
-    try:
-        raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.meta.json").text(roots).select(F.col("_metadata.file_path").alias("sidecar"), "value")
-    except AnalysisException:
-        return spark.createDataFrame([], f"sidecar string, fields struct<{', '.join(f.replace(' ', ':', 1) for f in SIDECAR.split(', '))}>")
-    return raw.select("sidecar", F.from_json("value", SIDECAR).alias("fields"))
+    """(sidecar, fields) of all ``.meta.json`` files below the roots that are there; malformed ones have null fields."""
+    out = spark.createDataFrame([], "sidecar string, value string")
+    for root in dict.fromkeys(roots):
+        try:
+            raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.meta.json").text(root)
+        except AnalysisException:
+            continue
+        out = out.union(raw.select(F.regexp_replace("_metadata.file_path", "^file:/+", "file:/"), "value"))
+    return out.select("sidecar", F.from_json("value", SIDECAR).alias("fields")).dropDuplicates(["sidecar"])
 
 
 def with_sidecars(files: DataFrame, side: DataFrame) -> DataFrame:
     """files with the fields of ``<name>.meta.json``, else of ``<stem>.meta.json``, as given_* columns."""
     bare = F.regexp_replace("path", r"\.[^./]+$", "")
-    f = files.withColumns({"_a": F.concat("path", F.lit(".meta.json")), "_b": F.concat(bare, F.lit(".meta.json"))})
+    same = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    f = files.withColumns({"_a": same(F.concat("path", F.lit(".meta.json"))), "_b": same(F.concat(bare, F.lit(".meta.json")))})
     a, b = (side.select(F.col("sidecar").alias(k), F.col("fields").alias(f"{k}f")) for k in ("_a", "_b"))
     f = f.join(a, "_a", "left").join(b, "_b", "left").withColumn("_s", F.coalesce("_af", "_bf"))
     s = F.col("_s")

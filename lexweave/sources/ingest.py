@@ -28,7 +28,7 @@ def run(spark: SparkSession, roots: list[str], store: S.ChunkStore, allowed: lis
     if not force:
         have = store.scan("chunk_id string, source_path string")
         found = S.not_indexed(found, have)
-    pages = S.with_sidecars(S.read_texts(spark, found), S.sidecars(spark, roots))
+    pages = S.with_sidecars(S.read_texts(found), S.sidecars(spark, roots))
     docs = S.assemble(pages)
     chunks = chunks_of(docs)
     if force:

@@ -18,7 +18,7 @@ def test_no_word_is_lost(text, limit, overlap):
     pieces = chunking.split_text(text.strip(), limit, 0)
     assert " ".join(pieces).split() == text.split()
     for p in chunking.split_words(text, limit, overlap):
-        assert len(p) <= max(limit, max(map(len, p.split()))) or len(p.split()) == 1
+        assert len(p) <= max(limit, max(map(len, p.split()))) + overlap + 1  # the seed of a window is not counted against it
 
 
 def test_overlap_is_the_longest_suffix():
