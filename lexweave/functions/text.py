@@ -61,8 +61,11 @@ def normalize_text(c: Column, run_ons: bool = True) -> Column:
 def tokens(c: Column, run_ons: bool = True) -> Column:
     """Search tokens in order: no stemming, no stop words; long alphabetic tokens are cut at case changes."""
     cut = lambda t: F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"[A-Z][a-z]+|[a-z]+|[A-Z]+"), F.lit(0)), F.lower), lambda p: F.length(p) > 1)
-    raw = F.filter(F.split(fix_spacing(c, run_ons), r"\s+"), lambda t: t != "")
-    return F.flatten(F.transform(raw, lambda t: F.when(t.rlike(r"^[A-Za-z]{20,}$"), cut(t)).otherwise(F.array(F.lower(t)))))
+    clean = fix_spacing(c, run_ons)
+    raw = lambda x: F.filter(F.split(x, r"\s+"), lambda t: t != "")
+    mixed = F.flatten(F.transform(raw(clean), lambda t: F.when(t.rlike(r"^[A-Za-z]{20,}$"), cut(t)).otherwise(F.array(F.lower(t)))))
+    # most texts have no such token and need no look at each
+    return F.when(clean.rlike(r"(?:^|\s)[A-Za-z]{20,}(?:\s|$)"), mixed).otherwise(raw(F.lower(clean)))
 
 
 def normalize_block(c: Column) -> Column:

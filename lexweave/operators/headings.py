@@ -33,9 +33,18 @@ def title_like(t: Column) -> Column:
     return F.length(t).between(4, 90) & ~t.rlike(r"[.;,\-—–]$") & (F.size(F.split(t, r"\s+")) <= 12) & (n > 0) & ((shouted >= 0.7) | (capital >= 0.85))
 
 
+def bare(line: Column) -> Column:
+    """A line without blanks, brackets and quotes around it."""
+    return strip(F.regexp_replace(strip(line), WRAPPERS, ""))
+
+
 def heading(line: Column) -> Column:
-    """struct(level, title) of a heading line, else null; the first rule that fits decides."""
-    t = strip(F.regexp_replace(strip(line), WRAPPERS, ""))
+    """struct(level, title) of a heading line, else null."""
+    return heading_of(bare(line))
+
+
+def heading_of(t: Column) -> Column:
+    """heading of a bare line; the first rule that fits decides."""
     mark = lambda level, title: F.struct(level.cast("int").alias("level"), title.alias("title"))
     depth = lambda num: F.length(num) - F.length(F.replace(num, F.lit("."), F.lit(""))) + 2
     none = F.lit(None).cast("struct<level:int,title:string>")
@@ -91,7 +100,7 @@ def with_paths(rows: DataFrame) -> DataFrame:
     of that level, if no heading of a higher level came later: running windows, one sort per document.
     """
     w = Window.partitionBy("document_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("heading", heading(F.col("line")))
+    rows = rows.withColumn("_bare", bare(F.col("line"))).withColumn("heading", heading_of(F.col("_bare"))).drop("_bare")
     last = {k: F.last(F.when(F.col("heading.level") == k, F.struct("line_no", "heading.title")), ignorenulls=True).over(w) for k in range(1, DEEPEST + 1)}
     rows = rows.withColumns({"group": F.count("heading").over(w)} | {f"_l{k}": c for k, c in last.items()})
     opened = []
