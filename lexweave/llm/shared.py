@@ -27,21 +27,20 @@ class Scratch:
             base = tempfile.mkdtemp(prefix="lexweave-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark, self.root = spark, f"{base.rstrip('/')}/lexweave-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
 
     def store(self, df: DataFrame, label: str) -> DataFrame:
         """Write df and return the reading of what was written."""
         path = f"{self.root}/{label}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        vars(out)["_stored_at"] = path
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        """Delete stored tables that nothing reads any more."""
+        """Delete stored tables that nothing reads any more; frames that ``store`` did not return are left alone."""
         jvm = self.spark._jvm
         for df in frames:
-            if path := self.paths.pop(id(df), None):
+            if path := vars(df).pop("_stored_at", None):
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
