@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import tokens
+from lexweave.session import reused
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Scores are rounded, so that equal texts tie whatever order their parts are added in.
@@ -35,15 +36,17 @@ class Index:
 
 
 def build_index(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text", run_ons: bool = True) -> Index:
-    """BM25 statistics of chunks. One shuffle for postings, combined before it; statistics derive from them.
+    """BM25 statistics of chunks.
 
-    A term in over half the chunks has a negative weight by the formula; it gets EPSILON times the
-    mean weight instead.
+    Texts are tokenized once: postings take one shuffle, combined before it, and are written; all
+    statistics derive from them. A term in over half the chunks has a negative weight by the formula;
+    it gets EPSILON times the mean weight instead.
     """
-    words = chunks.select(F.col(chunk_id).alias("chunk_id"), tokens(F.col(text), run_ons).alias("ts"))
-    postings = words.select("chunk_id", F.explode("ts").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
-    sizes = words.select("chunk_id", F.size("ts").cast("bigint").alias("dl"))
-    corpus = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    words = chunks.select(F.col(chunk_id).alias("chunk_id"), F.explode(tokens(F.col(text), run_ons)).alias("term"))
+    postings = reused(words.groupBy("term", "chunk_id").agg(F.count("*").alias("tf")))
+    sizes = postings.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
+    every = chunks.agg(F.count("*").alias("n"))
+    corpus = every.crossJoin(F.broadcast(postings.agg(F.sum("tf").alias("all")))).select("n", (F.col("all") / F.col("n")).alias("avgdl"))  # one row
     raw = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus.select("n")))  # one row
     raw = raw.select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))

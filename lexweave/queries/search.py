@@ -16,11 +16,11 @@ from lexweave.plans import search as K
 from lexweave.queries import query
 from lexweave.queries import sqltext as S
 from lexweave.queries.catalog import CATALOG, QUERIES, act_catalog, act_chunks
-from lexweave.session import reused, table
+from lexweave.session import reused, table, texts
 
 
 def _corpus(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("document_id"))
+    return texts(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("document_id"))
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:

@@ -12,15 +12,15 @@ from lexweave.functions.patterns import AMENDED_NUMBER, AMENDMENTS
 from lexweave.operators import context
 from lexweave.queries import query
 from lexweave.queries import sqltext as S
-from lexweave.session import table
+from lexweave.session import table, texts
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return texts(spark, d, "documents")
 
 
-def _values(spark: SparkSession, texts: list[str]) -> DataFrame:
-    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id bigint, s string")
+def _values(spark: SparkSession, strings: list[str]) -> DataFrame:
+    return spark.createDataFrame([(i, t) for i, t in enumerate(strings)], "id bigint, s string")
 
 
 def _sql_values(texts: list[str]) -> str:

@@ -32,6 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, dealt to all cores if its files give fewer partitions than there are cores.
+
+    Work on texts is bound by the CPU, so one small file should not be one task. Inputs of more
+    partitions, as any large one has, are read as they lie.
+    """
+    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def reused(df: DataFrame) -> DataFrame:
     """df, written once to the checkpoint folder, for plans that read it many times.
 
