@@ -110,6 +110,3 @@ def words(c: Column, pattern: str = "[a-z0-9]+") -> Column:
     """Matches of a pattern in the lower-cased text."""
     return F.regexp_extract_all(F.lower(c), F.lit(pattern), F.lit(0))
 
-
-def is_rtl_language(c: Column) -> Column:
-    return F.coalesce(c.isin("ur", "ar", "fa"), F.lit(False))

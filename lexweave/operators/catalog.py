@@ -145,6 +145,12 @@ def blob(cat: DataFrame) -> Column:
     return doc_blob(F.concat_ws(" ", "title", F.array_join("aliases", " "), F.element_at(F.split(path, "/"), -1), stem(path)))
 
 
+def near_pairs(asked: DataFrame, titles: DataFrame) -> DataFrame:
+    """Pairs (q, t) of distinct words whose lengths are within three: an equi-join on length."""
+    wide = asked.select("q").distinct().withColumn("n", F.explode(F.sequence(F.length("q") - 3, F.length("q") + 3)))
+    return wide.join(titles.select("t").distinct().withColumn("n", F.length("t")), "n").select("q", "t")
+
+
 def similar_tokens(pairs: DataFrame, q: str = "q", t: str = "t", least: float = 0.78) -> DataFrame:
     """Pairs (q, t) of words that are equal or near in spelling.
 
@@ -191,8 +197,7 @@ def match(queries: DataFrame, cat: DataFrame) -> DataFrame:
 
     asked = q.select("query_id", F.explode(distinctive(F.col("query_text"))).alias("q"))
     docs = cat.select("document_id", F.explode("title_tokens").alias("t"))
-    pairs = asked.select("q").distinct().join(docs.select("t").distinct(), (F.abs(F.length("q") - F.length("t")) <= 3) | (F.col("q") == F.col("t")))
-    covered = asked.join(similar_tokens(pairs), "q").join(docs, "t").select("query_id", "document_id", "t").distinct()
+    covered = asked.join(similar_tokens(near_pairs(asked, docs)), "q").join(docs, "t").select("query_id", "document_id", "t").distinct()
     covered = covered.join(token_counts(cat).select(F.col("token").alias("t"), "n_documents"), "t", "left")
     sole = (F.length("t") >= 5) & (F.col("n_documents") == 1) & ~among(F.col("t"), P.GENERIC_TITLE_WORDS)
     per = covered.groupBy("query_id", "document_id").agg(F.count("*").alias("c"), F.max(F.length("t")).alias("longest"), F.max(sole).alias("sole"))

@@ -151,7 +151,3 @@ def fold_events(events: DataFrame) -> DataFrame:
     )
     return out.where("answer <> ''")
 
-
-def ranked_by_conversation(messages: DataFrame) -> DataFrame:
-    """Messages numbered within their conversation."""
-    return messages.withColumn("nth", F.row_number().over(Window.partitionBy("conversation_id").orderBy("id")))

@@ -113,7 +113,7 @@ def fuzzy_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Words of the probes and title words near in spelling."""
     asked = fixtures.probes(spark).select(F.explode(C.distinctive(F.col("query_text"))).alias("q")).distinct()
     titles = act_catalog(spark, d).select(F.explode("title_tokens").alias("t")).distinct()
-    return C.similar_tokens(asked.join(titles, F.abs(F.length("q") - F.length("t")) <= 3))
+    return C.similar_tokens(C.near_pairs(asked, titles))
 
 
 _KNOWN = fixtures.values_sql([(k, " ".join(v)) for k, v in ABBREVIATIONS.items()], "word, need")
