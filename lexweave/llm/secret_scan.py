@@ -59,7 +59,7 @@ def linked_parts(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     k1, k2: hashes of doc_id and text; repeated rows are one. Scope: code points between the starts.
     """
-    seed = spans.where(F.exists("base", lambda s: s["kind"] == "access"))
+    seed = spans.where(F.col("text").contains("AKIA")).where(F.exists("base", lambda s: s["kind"] == "access"))
     parts = seed.select(F.xxhash64("doc_id").alias("k1"), F.xxhash64("text").alias("k2"), F.explode(F.concat("base", *(matches("text", *w) for w in WEAK))).alias("s")).distinct()
     parts = parts.select("k1", "k2", "s", F.floor(F.col("s.start") / scope).cast("int").alias("cell"))
     # a weak string inside or across a base span is that span
