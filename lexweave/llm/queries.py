@@ -102,9 +102,36 @@ _LINES = f"""
     FROM whole w LEFT JOIN n USING (doc_id) LEFT JOIN depth USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
 
+def _found(kind: str, pattern: str, keep: str) -> str:
+    """Spans of a kind: starts are the lengths of the pieces and matches before; keep is a test of the match h."""
+    p = "'" + pattern.replace("'", "''") + "'"
+    rank = secret_scan.KINDS.index(kind)
+    start = "coalesce(list_sum(list_transform(gaps[1:i + 1], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(hits[1:i], lambda g: length(g))), 0)"
+    return f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, ({start})::BIGINT AS s, ({start})::BIGINT + length(h) AS e FROM (SELECT doc_id, hits, gaps, i, hits[i + 1] AS h FROM
+        (SELECT doc_id, hits, gaps, unnest(range(len(hits))) AS i FROM (SELECT doc_id, regexp_extract_all(t, {p}) AS hits, string_split_regex(t, {p}) AS gaps FROM d WHERE regexp_matches(t, {p})))) WHERE {keep}"""
+
+
+_ASSIGN, _ACCESS, _HEX = (b[1] for b in secret_scan.BASE)
+_LONG = "regexp_full_match(h, '[A-Za-z0-9+/]{32,128}={0,2}') AND regexp_matches(h, '^[A-Za-z+/]{0,40}[0-9]') AND regexp_matches(h, '^[0-9+/]{0,40}[A-Za-z]')"
+_LIST = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e), '')"
+_SECRETS = f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    base AS ({_found('assign', _ASSIGN, f"length(regexp_extract(h, '{_ASSIGN.replace(chr(39), chr(39) * 2)}', 2)) >= 6")} UNION ALL {_found('access', _ACCESS, 'length(h) >= 20')} UNION ALL {_found('hex', _HEX, 'true')}),
+    weak AS ({_found('endpoint', secret_scan.WEAK[0][1], 'length(h) >= 10')} UNION ALL {_found('secret', '[A-Za-z0-9+/=_-]+', _LONG)}),
+    facts AS (SELECT w.doc_id, w.kind, w.rank, w.s, w.e, bool_or(b.kind = 'access') AS access, bool_or(b.kind <> 'access') AS other, bool_or(w.s < b.e AND b.s < w.e) AS over
+              FROM weak w JOIN base b ON w.doc_id = b.doc_id AND abs(w.s - b.s) <= {secret_scan.SCOPE} GROUP BY ALL),
+    sec AS (SELECT doc_id, kind, rank, s, e FROM facts WHERE kind = 'secret' AND access AND NOT over),
+    ends AS (SELECT doc_id, kind, rank, s, e FROM facts f WHERE kind = 'endpoint' AND access AND (other OR EXISTS (SELECT 1 FROM sec WHERE sec.doc_id = f.doc_id AND abs(sec.s - f.s) <= {secret_scan.SCOPE}))),
+    b1 AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, {_LIST} AS spans FROM base GROUP BY doc_id),
+    a1 AS (SELECT doc_id, {_LIST} AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM sec UNION ALL SELECT * FROM ends) GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b1.spans, '')) AS base_sha256, coalesce(a1.spans, '') AS spans
+    FROM d LEFT JOIN b1 USING (doc_id) LEFT JOIN a1 USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": _LINES,
+        "op9_secret_scan": _SECRETS,
         # no page of the tables has a canonical link or a refresh, so the classes are single urls
         "op4_url_filter": f"""
             WITH p AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages), r(act, rule, h, x) AS (VALUES {_RULES}),

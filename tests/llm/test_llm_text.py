@@ -220,6 +220,10 @@ def test_secrets(spark):
     assert secret_scan.scan(docs_of(spark, texts).where("false")).count() == 0
 
 
+def test_secrets_equal_sql(spark, data, same):
+    same(queries.op9_secret_scan(spark, data), queries.oracle_sql()["op9_secret_scan"])
+
+
 def test_urls(spark):
     page = lambda canonical: f'<html><link href="{canonical}" rel="canonical"></html>'
     rows = [
