@@ -32,7 +32,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), Scratch(spark))
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), Scratch(spark)).drop("distance")
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +102,23 @@ _LINES = f"""
     FROM whole w LEFT JOIN n USING (doc_id) LEFT JOIN depth USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
 
+_WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+_SHINGLES = "CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
+#: Every place where a shingle of an item puts the item's start, and the item's weight in the window there; no fingerprints.
+_LEAKS = f"""
+    WITH it AS (SELECT item_id, len(w)::BIGINT AS n_words, {_SHINGLES} AS hs FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+    part AS (SELECT item_id, n_words, unnest(hs) AS h, generate_subscripts(hs, 1) - 1 AS pos FROM it),
+    wt AS (SELECT h, ln(1 + (SELECT count(DISTINCT item_id) FROM it) / count(DISTINCT item_id)) AS weight FROM part GROUP BY h),
+    want AS (SELECT item_id, h, weight, count(*) AS m FROM part JOIN wt USING (h) GROUP BY ALL),
+    total AS (SELECT item_id, sum(weight * m) AS total FROM want GROUP BY item_id),
+    sh AS MATERIALIZED (SELECT doc_id, unnest(hs) AS h, generate_subscripts(hs, 1) - 1 AS p, len(hs) AS size FROM (SELECT doc_id, {_SHINGLES} AS hs FROM (SELECT doc_id, {_WORDS} AS w FROM documents))),
+    place AS (SELECT DISTINCT doc_id, item_id, n_words, greatest(p - pos, 0) AS start, least(greatest(p - pos, 0), size - 1) AS first FROM sh JOIN part USING (h)),
+    held AS (SELECT doc_id, item_id, n_words, start, h, count(*) AS c FROM place JOIN sh USING (doc_id) WHERE p >= first AND p < first + greatest(n_words - 4, 1) GROUP BY ALL),
+    scored AS (SELECT doc_id, item_id, n_words, start, round(sum(weight * least(c, m)) / any_value(total), 6) AS similarity FROM held JOIN want USING (item_id, h) JOIN total USING (item_id) GROUP BY ALL),
+    best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS k FROM scored WHERE similarity >= {decontaminate.SIMILARITY})
+    SELECT doc_id, item_id, start::BIGINT AS start, n_words, similarity FROM best WHERE k = 1"""
+
+
 def _found(kind: str, pattern: str, keep: str) -> str:
     """Spans of a kind: starts are the lengths of the pieces and matches before; keep is a test of the match h."""
     p = "'" + pattern.replace("'", "''") + "'"
@@ -131,6 +148,7 @@ _SECRETS = f"""
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": _LINES,
+        "op3_decontaminate": _LEAKS,
         "op9_secret_scan": _SECRETS,
         # no page of the tables has a canonical link or a refresh, so the classes are single urls
         "op4_url_filter": f"""

@@ -188,6 +188,10 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs_of(spark, texts), bench.where("false"), Scratch(spark)).count() == 0
 
 
+def test_leaks_equal_sql(spark, data, same):
+    same(queries.op3_decontaminate(spark, data), queries.oracle_sql()["op3_decontaminate"])
+
+
 def test_radius_blocks_cover_all(spark):
     """Any two values within the radius agree in a block."""
     rng = np.random.default_rng(1)
