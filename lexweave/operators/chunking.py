@@ -86,10 +86,8 @@ def chunk(docs: DataFrame, run_ons: bool = True, limit: int = MAX_CHARS, overlap
     text = docs.select("document_id", "title", fix_spacing(normalize_block(F.col("text")), run_ons).alias("text"))
     rows = headings.with_paths(headings.merge_numbers(headings.lines(text)))
     bodies = headings.section_bodies(rows)
-    bare = text.join(bodies.select("document_id").distinct(), "document_id", "left_anti").where("text <> ''")
-    bare = bare.select("document_id", F.lit(0).cast("bigint").alias("group"), F.array().cast("array<string>").alias("path"), F.col("text").alias("body"))
     cut = pieces(F.col("body"), limit, overlap) if split else F.array("body")
-    found = bodies.unionByName(bare).select("*", F.posexplode(cut).alias("piece_no", "piece"))
+    found = bodies.select("*", F.posexplode(cut).alias("piece_no", "piece"))
     w = Window.partitionBy("document_id").orderBy("group", "piece_no")
     own = sections.of_path(F.col("path"))
     amended = sections.amendments(F.col("body"))

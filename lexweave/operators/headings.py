@@ -117,7 +117,16 @@ def path_label(path: Column) -> Column:
 
 
 def section_bodies(rows: DataFrame) -> DataFrame:
-    """(document_id, group, path, body): the non-heading lines between headings, blocks normalized; empty ones go."""
-    body = rows.where("heading IS NULL").groupBy("document_id", "group").agg(F.first("path").alias("path"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
+    """(document_id, group, path, body): the non-heading lines between headings, blocks normalized; empty ones go.
+
+    A document that has heading lines only gives all of them as one body without a path. One group by
+    document after the windows of ``with_paths``, which have dealt the lines already.
+    """
+    plain = F.col("heading").isNull()
+    some = F.max(plain & (F.trim("line") != "")).over(Window.partitionBy("document_id"))
+    kept = rows.withColumn("_some", some).where(plain | ~F.col("_some"))
+    group = F.when(F.col("_some"), F.col("group")).otherwise(F.lit(-1))
+    path = F.when(F.col("_some"), F.col("path")).otherwise(F.array().cast("array<string>"))
+    body = kept.withColumns({"group": group, "path": path}).groupBy("document_id", "group").agg(F.first("path").alias("path"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
     body = body.select("document_id", "group", "path", normalize_block(F.array_join(F.transform("ls", lambda x: x["line"]), "\n")).alias("body"))
     return body.where("body <> ''")

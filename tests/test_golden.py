@@ -142,3 +142,13 @@ def test_section_boost(spark):
     chunks = spark.createDataFrame([("c", "text")], "chunk_id string, text string")
     assert rerank(results, chunks).first()["rerank_score"] is None
     assert rerank(results, chunks, lambda q, t: [len(x) for x in t]).first()["rerank_score"] == 4.0
+
+
+def test_documents_of_headings_only(spark):
+    from lexweave.operators import chunking
+
+    docs = spark.createDataFrame([("a", "T", "CHAPTER I\nPRELIMINARY"), ("b", "T", "1. One\nsome running body ."), ("c", "T", "")], "document_id string, title string, text string")
+    got = {r["chunk_id"]: r for r in chunking.chunk(docs).collect()}
+    assert set(got) == {"a::00000", "b::00000"}
+    assert got["a::00000"]["text"] == "CHAPTER I\nPRELIMINARY" and got["a::00000"]["section_path"] == [] and got["a::00000"]["section_label"] == "Document"
+    assert got["b::00000"]["section_number"] == "1" and got["b::00000"]["text"].startswith("SECTION: 1 One")
