@@ -15,6 +15,7 @@ and every link between different fingerprints lies in the components that follow
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -110,10 +111,12 @@ def grouped(own: DataFrame, edges: DataFrame, scratch: Scratch, label: str) -> D
 
 
 BANDS = 16
+#: Documents of the sample that orders shingles, and how many shingles it names; by how much the compared texts of a bucket grow a round.
+SAMPLE, COMMON, GROWTH = 20_000, 100_000, 16
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
-    """Keys that two sets of shingles of similarity 0.8 or more very likely share.
+    """Keys that two sets of shingles of similarity 0.8 or more very likely share; ``keep_first`` uses ``prefix_of``, which loses none.
 
     The hash range is dealt into 2^k parts so that a part holds four to eight shingles, and again into
     twice as many; the first BANDS parts of both give a key each, of all shingles in it. Sizes of similar
@@ -134,46 +137,140 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return out
 
 
-def sketches(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, fp, keys): a narrow map."""
+def prefix_of(hashes: np.ndarray, known: np.ndarray, often: np.ndarray, similarity: float) -> np.ndarray:
+    """The prefix of a set of shingles (distinct hashes): two sets of at least this Jaccard similarity have a shingle of both prefixes in common.
+
+    Holds for any one order of all shingles. This one puts those of the sample (known, sorted; often, their counts) last.
+    """
+    at = np.searchsorted(known, hashes)
+    found = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == hashes) if len(known) else np.zeros(len(hashes), bool)
+    count = np.zeros(len(hashes), np.int64)
+    count[found] = often[at[found]]
+    order = np.lexsort((hashes * np.uint64(0x9E3779B97F4A7C15), count))
+    return hashes[order[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-6) + 1]]
+
+
+def common_shingles(docs: DataFrame, size: int, doc_id: str, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of shingles that several documents of a bounded sample have. They only order the work."""
+    n = docs.count()
+    edge = min(2**63 - 1, int(SAMPLE / max(n, 1) * 2**64) - 2**63)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, texts in chunks(b, "text"):
+                for t in texts:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, size)).view(np.int64))], names=["h"])
+
+    some = docs.where(F.xxhash64(doc_id) <= edge).select(docs[text].alias("text")).mapInArrow(run, "h bigint")
+    rows = some.groupBy("h").agg(F.count("*").alias("c")).where("c > 2").orderBy(F.desc("c"), "h").limit(COMMON).toPandas().sort_values("h")
+    known = rows.h.to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(known)
+    return known[order], rows.c.to_numpy(np.int64)[order]
+
+
+def sketches(docs: DataFrame, size: int, similarity: float, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, fp, sid, m, prefix): the hash of the set of shingles, its size, its prefix. A narrow map."""
     kind = dict(docs.dtypes)[doc_id]
+    known, often = common_shingles(docs, size, doc_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, keys = [], []
+            fps, sids, sizes, prefixes = [], [], [], []
             for _, texts in chunks(b, "text"):
                 for t in texts:
                     h = shingle_hashes(t, size)
+                    own = np.unique(h)
                     fps.append(fingerprint(h))
-                    keys.append(band_keys(h))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "keys"])
+                    sids.append(set_hash(own))
+                    sizes.append(len(own))
+                    prefixes.append(prefix_of(own, known, often, similarity).view(np.int64))
+            u64 = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), u64(fps), u64(sids), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "fp", "sid", "m", "prefix"])
+
+    return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint, sid bigint, m int, prefix array<bigint>")
 
-    return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint, keys array<bigint>")
 
+def set_hash(own: np.ndarray) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(own.tobytes(), SEED)
 
-def similar_links(docs: DataFrame, own: DataFrame, scratch: Scratch, size: int, similarity: float, doc_id: str, text: str) -> DataFrame:
-    """Edges (a, b) between fingerprints of texts that share a band and whose sets of shingles have at least this Jaccard similarity.
 
-    own: stored sketches. One document stands for each fingerprint; in each band it is paired with
-    the band's least fingerprint, so a group of n near copies gives n pairs a band, not n squared.
-    Every pair is verified on the whole sets. Texts are read again for paired documents only.
+def similar_links(docs: DataFrame, own: DataFrame, edges: DataFrame, scratch: Scratch, size: int, similarity: float, doc_id: str, text: str) -> DataFrame:
+    """Stored edges (a, b) between fingerprints whose components, with those of edges, are those of all pairs of texts of at least this Jaccard similarity.
+
+    own: stored sketches. Texts that name a shingle in their prefixes share its bucket, so every similar
+    pair meets. In the first round each bucket's most central text, whose prefix lies in the fullest
+    buckets, is compared with the others. In each later round the buckets that are not one component yet
+    compare GROWTH times as many of their texts with all texts of other components, until a bucket is
+    one component or all its texts were compared. A group of copies of one text costs about a pair for
+    each copy; only pairs that others join already are left out. Pairs that the prefixes do not rule
+    out are verified on the whole sets; texts are read again for these only.
     """
-    one = own.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min_by("keys", "doc_id").alias("keys"))
-    named = one.select("fp", F.explode("keys").alias("key"))
-    least = named.groupBy("key").agg(F.min("fp").alias("b"), F.max("fp").alias("hi")).where("b <> hi").select("key", "b")
-    pairs = scratch.store(named.join(least, "key").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct(), "band-pairs")
-    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(one.select("fp", "doc_id"), "fp")
+    known = own.where("doc_id IS NOT NULL AND m > 0")
+    same = known.select("sid", "fp").distinct()
+    one = scratch.store(known.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.max("m").alias("m"), F.first("prefix").alias("prefix")), "prefix-sets")
+    named = one.select("sid", F.explode("prefix").alias("key"))
+    buckets = named.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    entries = scratch.store(named.join(buckets, "key"), "prefix-entries")
+    nodes = one.select("sid", "fp", "m").join(entries.groupBy("sid").agg(F.sum("n").alias("w")), "sid")
+    members = scratch.store(entries.join(nodes, "sid"), "prefix-members")
+    scratch.drop(entries)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [np.unique(shingle_hashes(t, size)).view(np.int64) for _, texts in chunks(b, "text") for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array(rows, pa.list_(pa.int64()))], names=["fp", "hs"])
-
-    texts = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).join(wanted, "doc_id").select("fp", "text")
-    held = scratch.store(texts.mapInArrow(sets, "fp bigint, hs array<bigint>").dropDuplicates(["fp"]), "band-sets")
-    both = pairs.join(held.select(F.col("fp").alias("a"), F.col("hs").alias("ha")), "a").join(held.select(F.col("fp").alias("b"), F.col("hs").alias("hb")), "b")
-    shared = F.size(F.array_intersect("ha", "hb"))
-    return both.where(shared >= similarity * (F.size("ha") + F.size("hb") - shared)).select("a", "b")
+            rows = [np.unique(shingle_hashes(t, size)) for _, texts in chunks(b, "text") for t in texts]
+            is_own = pa.array(np.array([set_hash(h) for h in rows], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("sid"), is_own, pa.array([h.view(np.int64) for h in rows], pa.list_(pa.int64()))], names=["sid", "is", "hs"])
+
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
+        # a shingle of both sets is in both prefixes or past the end of one, so few shared ones in the prefixes rule a pair out
+        side = lambda c: one.select(F.col("sid").alias(c), F.col("m").alias(f"m{c}"), F.col("prefix").alias(f"p{c}"))
+        most = F.size(F.array_intersect("px", "py")) + F.greatest(F.col("mx") - F.size("px"), F.col("my") - F.size("py"))
+        maybe = pairs.join(side("x"), "x").join(side("y"), "y").where(most >= similarity / (1 + similarity) * (F.col("mx") + F.col("my")) - 1e-6)
+        maybe = scratch.store(maybe.select("x", "y", "a", "b"), f"{label}-maybe")
+        ids = maybe.select(F.col("x").alias("sid")).union(maybe.select("y")).distinct()
+        wanted = scratch.store(one.select("sid", "doc_id").join(ids, "sid"), f"{label}-wanted")
+        texts = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).join(wanted, "doc_id").select("sid", "text")
+        # rows that repeat a doc_id with another text are not the one that stands for the set
+        held = scratch.store(texts.mapInArrow(sets, "sid bigint, is bigint, hs array<bigint>").where("sid = is").select("sid", "hs").dropDuplicates(["sid"]), f"{label}-sets")
+        both = maybe.join(held.select(F.col("sid").alias("x"), F.col("hs").alias("hx")), "x").join(held.select(F.col("sid").alias("y"), F.col("hs").alias("hy")), "y")
+        shared = F.size(F.array_intersect("hx", "hy"))
+        out = scratch.store(both.where(shared >= similarity * (F.size("hx") + F.size("hy") - shared) - 1e-9).select("a", "b").distinct(), label)
+        scratch.drop(maybe, wanted, held)
+        return out
+
+    def pairs_of(left: DataFrame, pivots: DataFrame, by: str) -> DataFrame:
+        """(x, y, a, b): sets and fingerprints of the two, each pair once; sizes alone rule out some."""
+        right = pivots.select("key", F.col("sid").alias("sid2"), F.col("fp").alias("fp2"), F.col("m").alias("m2"), F.col(by).alias("by2"))
+        met = left.join(right, "key").where((F.col(by) != F.col("by2")) & (F.least("m", "m2") >= similarity * F.greatest("m", "m2") - 1e-6))
+        turned = F.col("sid") < F.col("sid2")
+        pick = lambda p, q, name: F.when(turned, F.col(p)).otherwise(F.col(q)).alias(name)
+        return met.select(pick("sid", "sid2", "x"), pick("sid2", "sid", "y"), pick("fp", "fp2", "a"), pick("fp2", "fp", "b")).distinct()
+
+    least = same.groupBy("sid").agg(F.min("fp").alias("b"))
+    edges = edges.union(same.join(least, "sid").where("fp <> b").select(F.col("fp").alias("a"), "b"))
+    central = members.groupBy("key").agg(F.max(F.struct("w", "sid", "fp", "m")).alias("p")).select("key", "p.*")
+    tested = scratch.store(pairs_of(members, central, "fp"), "prefix-pairs-0")
+    edges = scratch.store(edges.union(verified(tested, "prefix-found-0")).distinct(), "prefix-links-0")
+    most = members.agg(F.max("n")).first()[0] or 0
+    tries, k = 1, 0
+    while tries < most and most > 2:
+        k += 1
+        before, tries = tries, tries * GROWTH
+        cc = scratch.store(components(edges, scratch, f"prefix-{k}"), f"prefix-cc-{k}")
+        open_ = members.where(f"n > {max(2, before)}").join(cc.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+        split = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        live = scratch.store(open_.join(split, "key"), f"prefix-live-{k}")
+        if live.isEmpty():
+            break
+        pivots = live.where(F.pmod(F.xxhash64("sid"), F.lit(1 << 30)) / float(1 << 30) * F.col("n") < tries) if tries < most else live
+        fresh = pairs_of(live, pivots, "component").join(tested.select("x", "y"), ["x", "y"], "left_anti")
+        fresh = scratch.store(fresh, f"prefix-pairs-{k}")
+        tested = tested.union(fresh)
+        edges = scratch.store(edges.union(verified(fresh, f"prefix-found-{k}")).distinct(), f"prefix-links-{k}")
+        scratch.drop(cc, live)
+    return edges
 
 
 def keep_first(docs: DataFrame, scratch: Scratch, size: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -183,8 +280,9 @@ def keep_first(docs: DataFrame, scratch: Scratch, size: int = 5, similarity: flo
     of at least this similarity, which 64 bits within a radius of two can't tell. Of rows that
     repeat a doc_id with the same text one stays. Rows without a doc_id can't be told apart and stay.
     """
-    own = scratch.store(sketches(docs, size, doc_id, text), "keep-fp")
-    edges = scratch.store(links(own).union(similar_links(docs, own, scratch, size, similarity, doc_id, text)).distinct(), "keep-links")
+    own = scratch.store(sketches(docs, size, similarity, doc_id, text), "keep-fp")
+    near = scratch.store(links(own), "keep-links")
+    edges = similar_links(docs, own, near, scratch, size, similarity, doc_id, text)
     near = scratch.store(grouped(own, edges, scratch, "keep"), "keep-near")
     gone = near.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
     repeated = near.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")

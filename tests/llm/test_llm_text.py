@@ -248,3 +248,36 @@ def test_urls(spark):
 
 def test_urls_equal_sql(spark, data, same):
     same(queries.op4_url_filter(spark, data), queries.oracle_sql()["op4_url_filter"])
+
+
+def _star(n, words, rng):
+    """A text and n copies with two words changed: all at 0.8 or more to the text, hardly any to each other."""
+    base = [f"w{rng.integers(10**9)}" for _ in range(words)]
+    out = [" ".join(base)]
+    for _ in range(n):
+        w = list(base)
+        for k in rng.choice(np.arange(5, words - 5), 2, replace=False):
+            w[k] = f"x{rng.integers(10**9)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_keep_first_equals_brute_force_on_stars(spark):
+    rng = np.random.default_rng(5)
+    texts = _star(120, 110, rng)[1:] + _star(40, 120, rng) + [f"single text number {i} of its own words {i} {i + 1} {i + 2}" for i in range(5)]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    group = list(range(len(texts)))
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                x, y = top(i), top(j)
+                group[max(x, y)] = min(x, y)
+    want = {i for i in range(len(texts)) if top(i) == i}
+    kept = [r["doc_id"] for r in simhash.keep_first(docs_of(spark, texts).where("doc_id IS NOT NULL"), Scratch(spark)).collect()]
+    assert sorted(i for i in kept if i < len(texts)) == sorted(want)
