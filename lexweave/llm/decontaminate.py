@@ -2,12 +2,11 @@
 
 A window is as many words of a document as a benchmark item has. Windows that share
 no five-word shingle with the item have similarity zero, so windows are laid where a
-shared shingle puts the item's start, at every such place of every whole text. Each
-window and each item has a 64-bit SimHash of its shingles, cut into ``RADIUS + 1`` blocks;
-two fingerprints within the radius agree in a block, so an equi-join on (item, block,
-bits) finds every one. The distance is then tested, and what is left is verified by
-exact weighted-shingle similarity: the share of the item's shingle weight, repeats
-included, that the window holds, where a shingle weighs ln(1 + items / items with it).
+shared shingle puts the item's start, at every such place of every whole text. Every
+window is verified by exact weighted-shingle similarity: the share of the item's shingle
+weight, repeats included, that the window holds, where a shingle weighs
+ln(1 + items / items with it). Fingerprints decide nothing: no radius bounds that
+similarity. The distance of the 64-bit SimHashes of window and item is given beside it.
 
 DataFrame functions only.
 """
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lexweave.llm.shared import Scratch
 
-SIZE, SIMILARITY, RADIUS = 5, 0.8, 20
+SIZE, SIMILARITY = 5, 0.8
 #: Most rows of the benchmark's shingles that are broadcast: about 50 MB. Beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -51,7 +50,7 @@ def blocks(fp: str, radius: int) -> Column:
     return F.expr(f"array({', '.join(out)})")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, size: int = SIZE, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, size: int = SIZE, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item: str = "text") -> DataFrame:
     """(doc_id, item_id, start, n_words, distance, similarity): for each document and item, its most similar window of at least that similarity.
 
     start counts words. Null, empty and wordless texts and items match nothing. Items repeated word
@@ -78,22 +77,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, similarity: f
     cut = F.when(F.size("all") == 0, F.col("all")).otherwise(F.slice("all", F.least(F.col("start"), F.size("all") - 1) + 1, F.greatest(F.col("n_words") - size + 1, F.lit(1))))
     windows = places.join(again, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("doc_id", "key", "item_id", "start", "n_words", cut.alias("hs"))
     windows = scratch.store(windows.withColumn("fp", simhash("hs")), "windows")
-    met = windows.select("doc_id", "key", "item_id", "start", "fp", F.explode(blocks("fp", radius)).alias("b")).join(small(own.select("item_id", F.col("fp").alias("item_fp"), F.explode(blocks("fp", radius)).alias("b"))), ["item_id", "b"])
-    met = met.withColumn("distance", F.expr("bit_count(fp ^ item_fp)")).where(F.col("distance") <= radius).select("doc_id", "key", "item_id", "start", "distance").distinct()
-    held = _near(windows, met).select("doc_id", "key", "item_id", "start", "n_words", "distance", F.explode("hs").alias("h")).groupBy("doc_id", "key", "item_id", "start", "n_words", "distance", "h").agg(F.count("*").alias("c"))
+    item_fps = own.groupBy("item_id", "n_words").agg(F.min("fp").alias("item_fp"))
+    near = windows.join(small(item_fps), ["item_id", "n_words"]).withColumn("distance", F.expr("bit_count(fp ^ item_fp)"))
     want = parts.groupBy("item_id", "h", "weight").agg(F.count("*").alias("m"))
+    by = ["doc_id", "key", "item_id", "start", "n_words", "distance"]
+    held = near.select(*by, F.explode("hs").alias("h")).join(small(want), ["item_id", "h"]).groupBy(*by, "h", "weight", "m").agg(F.count("*").alias("c"))
     total = want.groupBy("item_id").agg(F.sum(F.col("weight") * F.col("m")).alias("total"))
-    scored = held.join(small(want), ["item_id", "h"]).groupBy("doc_id", "key", "item_id", "start", "n_words", "distance").agg(F.sum(F.col("weight") * F.least("c", "m")).alias("got"))
+    scored = held.groupBy(*by).agg(F.sum(F.col("weight") * F.least("c", "m")).alias("got"))
     scored = scored.join(small(total), "item_id").withColumn("similarity", F.round(F.col("got") / F.col("total"), 6)).where(F.col("similarity") >= similarity)
     best = F.max_by(F.struct("start", "n_words", "distance", "similarity"), F.struct("similarity", -F.col("start")))
     return scored.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.start").cast("bigint").alias("start"), F.col("b.n_words").cast("bigint").alias("n_words"), F.col("b.distance").cast("bigint").alias("distance"), "b.similarity")
 
 
-def _near(windows: DataFrame, met: DataFrame) -> DataFrame:
-    right = met.select(*(F.col(c).alias(f"_{c}") for c in ("doc_id", "key", "item_id", "start")), "distance")
-    return windows.join(right, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("key") == F.col("_key")) & (F.col("item_id") == F.col("_item_id")) & (F.col("start") == F.col("_start")))
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of docs that hold no benchmark item; rows without a doc_id stay."""
     found = scratch.store(leaks(docs, benchmark, scratch, doc_id=doc_id, **options).select(F.col("doc_id").alias(doc_id)).distinct(), "leaks")

@@ -281,3 +281,13 @@ def test_keep_first_equals_brute_force_on_stars(spark):
     want = {i for i in range(len(texts)) if top(i) == i}
     kept = [r["doc_id"] for r in simhash.keep_first(docs_of(spark, texts).where("doc_id IS NOT NULL"), Scratch(spark)).collect()]
     assert sorted(i for i in kept if i < len(texts)) == sorted(want)
+
+
+def test_leaks_of_items_with_a_shared_preamble(spark):
+    """Each document holds all but the preamble's ten shingles, which weigh little: weighted similarity about 0.92."""
+    items = [[f"pre{k}" for k in range(14)] + [f"i{i}w{k}" for k in range(14, 30)] for i in range(200)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, f"before d{i} " + " ".join(w[10:]) + " after") for i, w in enumerate(items)], "doc_id bigint, text string")
+    rows = decontaminate.leaks(docs, bench, Scratch(spark)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == {(i, i) for i in range(200)}
+    assert all(r["similarity"] > 0.9 for r in rows)
