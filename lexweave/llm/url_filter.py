@@ -9,6 +9,10 @@ goes before a block, and a block goes before the default.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,27 +41,84 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return rule, action
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that the plan holds, and evaluates, once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def undotted(path: Column) -> Column:
+    """A path that starts with ``/`` without its ``.`` and ``..`` segments; others as they are."""
+    step = lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x)))
+
+    def joined(parts: Column) -> Column:
+        left = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), step)
+        return _let(left, lambda v: F.concat(F.lit("/"), F.array_join(v, "/"), F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(v) > 0), "/").otherwise("")))
+
+    return F.when(path.startswith("/") & path.contains("/."), _let(F.split(path, "/", -1), joined)).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """A url as a node of the link graph: without its fragment, host in lower case."""
+    """A url as a node of the link graph: without its fragment and dot segments, host in lower case."""
     bare = F.regexp_extract(url, r"(?s)^([^#]*)", 1)
-    return F.when(url.contains("://"), F.concat(F.regexp_extract(bare, r"(?s)^(.*?://)", 1), host_of(url), F.regexp_extract(bare, r"(?s)^.*?://[^/?]*(.*)$", 1))).otherwise(bare)
+    query = F.regexp_extract(bare, r"(?s)^.*?://[^/?]*[^?]*(.*)$", 1)
+    return F.when(url.contains("://"), F.concat(F.regexp_extract(bare, r"(?s)^(.*?://)", 1), host_of(url), _let(path_of(bare), undotted), query)).otherwise(bare)
+
+
+def decoded(text: Column) -> Column:
+    """An attribute's text with its HTML character references decoded, named and numeric."""
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+
+    def numeric(x: Column) -> Column:
+        digits, hexes = F.regexp_extract(x, r"^#0*([0-9]{1,7})(?![0-9])", 1), F.regexp_extract(x, r"^#[xX]0*([0-9a-fA-F]{1,6})(?![0-9a-fA-F])", 1)
+        code = F.when(digits != "", digits.cast("int")).when(hexes != "", F.conv(hexes, 16, 10).cast("int"))
+        good = lambda c: c.between(1, 0xD7FF) | c.between(0xE000, 0x10FFFF)
+        return _let(code, lambda c: F.when(good(c), F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")).when(c.isNotNull(), "\ufffd"))
+
+    def one(x: Column) -> Column:
+        # without its semicolon a name before '=' is a parameter
+        name = F.regexp_extract(x, r"^([A-Za-z][A-Za-z0-9]*+(?:;|(?!=)))", 1)
+        named = _let(name, lambda n: F.concat(F.try_element_at(names, n), F.substring(x, F.length(n) + 1, F.length(x))))
+        return F.coalesce(F.concat(numeric(x), F.regexp_replace(x, r"^#(?:[xX][0-9a-fA-F]+|[0-9]+);?", "")), named, F.concat(F.lit("&"), x))
+
+    whole = lambda parts: F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))
+    return F.when(text.contains("&"), _let(F.split(text, "&", -1), whole)).otherwise(text)
+
+
+def resolved(to: Column, base: Column) -> Column:
+    """The absolute url that a target names on a page of this url: by scheme, host, path or query, or relative to the page's folder."""
+    origin, path = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1), path_of(base)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
+    return (
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), to)
+        .when(~base.contains("://"), F.lit(""))
+        .when(to.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), to))
+        .when(to.startswith("/"), F.concat(origin, to))
+        .when(to.startswith("?"), F.concat(origin, path, to))
+        .when((to == "") | to.startswith("#"), base)
+        .otherwise(F.concat(origin, folder, to))
+    )
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Edges (a, b) from each page to the target of its canonical link and of its refresh redirect.
 
-    Targets are absolute, or start with ``/`` and take the page's scheme and host; others are left out.
+    Targets of every form are taken: absolute, or relative to the page's url or to the one that its base element names.
     Only pages with such an element are parsed further; all others stop at a substring test.
     """
     u, t = F.col(url), F.col(html)
+    value = r"""\s*=\s*[\"']?\s*([^\"'\s>]+)"""
     tags = F.array(
-        F.regexp_extract(F.regexp_extract(t, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1),
-        F.regexp_extract(F.regexp_extract(t, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0), r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1),
+        F.regexp_extract(F.regexp_extract(t, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0), rf"(?is)\bhref{value}", 1),
+        F.regexp_extract(F.regexp_extract(t, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0), rf"(?is)\burl{value}", 1),
     )
+    base = F.regexp_extract(F.regexp_extract(t, r"(?is)<base\b[^>]*>", 0), rf"(?is)\bhref{value}", 1)
     hit = pages.where(u.isNotNull() & (F.lower(t).contains("canonical") | F.lower(t).contains("http-equiv")))
-    to = hit.select(u.alias("u"), F.explode(tags).alias("to")).where("to <> ''")
-    full = F.when(F.col("to").startswith("//"), F.concat(F.regexp_extract("u", r"^(.*?:)//", 1), "to")).when(F.col("to").startswith("/"), F.concat(F.regexp_extract("u", r"(?s)^(.*?://[^/?#]*)", 1), "to")).otherwise(F.col("to"))
-    return to.select(node_of(F.col("u")).alias("a"), node_of(full).alias("b")).where("contains(b, '://') AND a <> b").distinct()
+    to = hit.select(u.alias("u"), base.alias("base"), F.explode(F.filter(tags, lambda x: x != "")).alias("to"))
+    at = F.when(F.col("base") == "", F.col("u")).otherwise(_let(decoded(F.col("base")), lambda x: resolved(x, F.col("u"))))
+    full = _let(at, lambda x: _let(decoded(F.col("to")), lambda y: resolved(y, x)))
+    edge = _let(full, lambda x: F.struct(node_of(F.col("u")).alias("a"), node_of(x).alias("b")))
+    # a test of what an explode gives is not copied into what makes it
+    return to.select(F.explode(F.filter(F.array(edge), lambda e: e["b"].contains("://") & (e["a"] != e["b"]))).alias("e")).select("e.a", "e.b").distinct()
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], edges: DataFrame, scratch: Scratch, url: str = "url", default: str = "allow") -> DataFrame:

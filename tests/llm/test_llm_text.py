@@ -291,3 +291,20 @@ def test_leaks_of_items_with_a_shared_preamble(spark):
     rows = decontaminate.leaks(docs, bench, Scratch(spark)).collect()
     assert {(r["doc_id"], r["item_id"]) for r in rows} == {(i, i) for i in range(200)}
     assert all(r["similarity"] > 0.9 for r in rows)
+
+
+def test_relative_and_encoded_targets(spark):
+    """A blocked page's aliases, by every form of target, against the standard library."""
+    from html import unescape
+    from urllib.parse import urljoin
+
+    at = "http://a.example.com/en/8/dir/page?x=1"
+    forms = ["page.html", "../x", "./y/./z", "../../../../up", "?p=2&amp;q=3", "sub/..", "..", "/en/8?a=1&amp;b=2", "//a.example.com/en/8/k", "x&#47;y&#x2F;z", "?a=1&copy=2", "http://a.example.com/en/8/q?m&amp;n", "a:b/../c"]
+    rows = [(i, at.replace("page", f"from{i}"), f'<link rel="canonical" href="{f}">') for i, f in enumerate(forms)]
+    rows += [(90, "http://b.io/one", '<base href="http://c.io/deep/"><link rel=canonical href=two>'), (91, "http://b.io", '<meta http-equiv="refresh" content="0; url=../three">'), (92, "no scheme", '<link rel=canonical href=two>')]
+    edges = {(r["a"], r["b"]) for r in url_filter.link_edges(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    want = {(u, urljoin(u, unescape(f) if "&copy=" not in f else f)) for (_, u, _), f in zip(rows, forms, strict=False) if not f.startswith("a:")}
+    assert edges == want | {("http://b.io/one", "http://c.io/deep/two"), ("http://b.io", "http://b.io/three")}
+    pages = spark.createDataFrame([(1, "https://alias.io/en/p", '<link rel="canonical" href="../q?a=1&amp;b=2">'), (2, "https://alias.io/q?a=1&b=2", '<link rel="canonical" href="http://a.example.com/en/8">')], "page_id bigint, url string, html string")
+    out = url_filter.judge(pages, queries.RULES, url_filter.link_edges(pages), Scratch(spark)).collect()
+    assert {r["page_id"]: r["verdict"] for r in out} == {1: "block", 2: "block"}
