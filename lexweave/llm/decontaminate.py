@@ -58,6 +58,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, similarity: f
     first window. Places are combined before they are shuffled by (document, item, start), of which no
     key is hot however common a passage is; texts are read again only for documents with a place.
     """
+    scored = _scored(docs, benchmark, scratch, similarity, size, doc_id, text, item_id, item)
+    best = F.max_by(F.struct("start", "n_words", "distance", "similarity"), F.struct("similarity", -F.col("start")))
+    return scored.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.start").cast("bigint").alias("start"), F.col("b.n_words").cast("bigint").alias("n_words"), F.col("b.distance").cast("bigint").alias("distance"), "b.similarity")
+
+
+def _scored(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, similarity: float, size: int, doc_id: str, text: str, item_id: str, item: str) -> DataFrame:
+    """The windows of at least that similarity; key is the hash of the document's text."""
     rows = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("key"), docs[text].alias("t"))
     own = benchmark.select(benchmark[item_id].alias("item_id"), benchmark[item].alias("t")).withColumn("w", words_of("t")).where("size(w) > 0")
     own = own.select("item_id", F.size("w").alias("n_words"), shingles("w", size).alias("hs")).distinct()
@@ -84,12 +91,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, similarity: f
     held = near.select(*by, F.explode("hs").alias("h")).join(small(want), ["item_id", "h"]).groupBy(*by, "h", "weight", "m").agg(F.count("*").alias("c"))
     total = want.groupBy("item_id").agg(F.sum(F.col("weight") * F.col("m")).alias("total"))
     scored = held.groupBy(*by).agg(F.sum(F.col("weight") * F.least("c", "m")).alias("got"))
-    scored = scored.join(small(total), "item_id").withColumn("similarity", F.round(F.col("got") / F.col("total"), 6)).where(F.col("similarity") >= similarity)
-    best = F.max_by(F.struct("start", "n_words", "distance", "similarity"), F.struct("similarity", -F.col("start")))
-    return scored.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.start").cast("bigint").alias("start"), F.col("b.n_words").cast("bigint").alias("n_words"), F.col("b.distance").cast("bigint").alias("distance"), "b.similarity")
+    return scored.join(small(total), "item_id").withColumn("similarity", F.round(F.col("got") / F.col("total"), 6)).where(F.col("similarity") >= similarity)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that hold no benchmark item; rows without a doc_id stay."""
-    found = scratch.store(leaks(docs, benchmark, scratch, doc_id=doc_id, **options).select(F.col("doc_id").alias(doc_id)).distinct(), "leaks")
-    return docs.join(found, doc_id, "left_anti").select(docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, size: int = SIZE, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item: str = "text") -> DataFrame:
+    """The rows of docs that hold no benchmark item; a row goes by its own text, with or without a doc_id."""
+    found = _scored(docs, benchmark, scratch, similarity, size, doc_id, text, item_id, item).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    found = scratch.store(found, "leaks")
+    return docs.join(found, docs[doc_id].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_key")), "left_anti").select(docs.columns)

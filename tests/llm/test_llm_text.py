@@ -308,3 +308,11 @@ def test_relative_and_encoded_targets(spark):
     pages = spark.createDataFrame([(1, "https://alias.io/en/p", '<link rel="canonical" href="../q?a=1&amp;b=2">'), (2, "https://alias.io/q?a=1&b=2", '<link rel="canonical" href="http://a.example.com/en/8">')], "page_id bigint, url string, html string")
     out = url_filter.judge(pages, queries.RULES, url_filter.link_edges(pages), Scratch(spark)).collect()
     assert {r["page_id"]: r["verdict"] for r in out} == {1: "block", 2: "block"}
+
+
+def test_clean_goes_by_text(spark):
+    item = " ".join(f"word{i}" for i in range(30))
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    rows = [(None, f"a {item}"), (None, "no leak"), (3, f"b {item}"), (3, "other text"), (4, None), (None, None)]
+    kept = decontaminate.clean(spark.createDataFrame(rows, "doc_id bigint, text string"), bench, Scratch(spark)).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [rows[1], rows[3], rows[4], rows[5]]))
