@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm import bpe, crf, decontaminate, line_dedup, simhash
-from lexweave.llm.queries import VOCABULARY
+from lexweave.llm.queries import vocabulary
 from lexweave.llm.shared import Scratch
 
 #: Least mean marginal of a document's language.
@@ -43,7 +43,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document kept, as counts and digests."""
-    return bpe.encode_decode(docs, VOCABULARY)
+    return bpe.encode_decode(docs, vocabulary())
 
 
 STAGES = [("language_id", language_id), ("line_dedup", dedup_lines), ("near_dedup", dedup_near), ("decontaminate", decontaminated), ("bpe", tokenized)]

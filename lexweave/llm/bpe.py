@@ -194,18 +194,23 @@ def bpe(path: str) -> Bpe:
 CHUNK = 600_000
 
 
-def chunks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[str]]]:
-    """Runs of the batch's texts (null: empty) of about CHUNK bytes: (first row, texts). Only a run at a time is in Python."""
-    texts = batch.column(column)
+def text_slices(texts: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of texts of about this many bytes: (first row, texts)."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     first = 0
     while first < len(texts):
         done = int(size[first - 1]) if first else 0
-        end = max(first + 1, int(np.searchsorted(size, done + CHUNK, side="right")))
-        yield first, [t or "" for t in texts.slice(first, end - first).to_pylist()]
+        end = max(first + 1, int(np.searchsorted(size, done + most, side="right")))
+        yield first, texts.slice(first, end - first)
         first = end
 
 
+def chunks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[str]]]:
+    """Runs of the batch's texts (null: empty) of about CHUNK bytes: (first row, texts). Only a run at a time is in Python."""
+    for first, texts in text_slices(batch.column(column)):
+        yield first, [t or "" for t in texts.to_pylist()]
+
+
 def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
     """For each row (doc_id, n_tokens, ids_sha256, decoded_sha256), and with ids=True also ids and decoded.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import os
 from collections.abc import Callable
 
@@ -11,8 +12,12 @@ from pyspark.sql import functions as F
 from lexweave.llm import bpe, crf, decontaminate, line_dedup, projection_index, secret_scan, simhash, token_file, toxicity, url_filter
 from lexweave.llm.shared import Scratch
 
-#: Where the public vocabulary lies; the same path on every executor.
-VOCABULARY = os.environ.get("LEXWEAVE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json")
+
+def vocabulary() -> str:
+    """Where the vocabulary lies, the same path on every executor: LEXWEAVE_VOCABULARY, or what the package of public tokenizers says."""
+    return os.environ.get("LEXWEAVE_VOCABULARY") or str(importlib.import_module("public_tokenizers").path("byte_bpe_50k.json"))
+
+
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
@@ -22,7 +27,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Scratch(spark).root}/tokens"
-    token_file.write_tokens(_table(spark, sf_dir, "documents"), path, VOCABULARY)
+    token_file.write_tokens(_table(spark, sf_dir, "documents"), path, vocabulary())
     return token_file.read_tokens(spark, path)
 
 
@@ -69,7 +74,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(_table(spark, sf_dir, "documents"), VOCABULARY)
+    return bpe.encode_decode(_table(spark, sf_dir, "documents"), vocabulary())
 
 
 QUERIES = (op1_token_file, op2_line_dedup, op3_decontaminate, op4_url_filter, op5_toxicity, op6_language, op7_nearest, op8_simhash, op9_secret_scan, op10_bpe)

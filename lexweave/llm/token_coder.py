@@ -1,130 +1,229 @@
 """Adaptive context-mixing range coder for token ids, many blocks at a time.
 
-A run of ids is cut into blocks of equal length. Every block starts with fresh
-models and has its own code words and checksum, so any block can be decoded alone
-and damage stays within it. The blocks of a segment advance together, one id each
-per step, as lanes of numpy arrays; all arithmetic is on integers, so decoding
-repeats exactly what encoding did.
-
-Model of a lane: order-2 and order-1 tables give the id that followed the context
-last, with a confidence; order-0 counts give the frequencies of an id's high byte,
-and of its low byte under the high one. Whether the order-2 guess is right is
-predicted by logistic mixing of all three orders, with weights learned on the way;
-the order-1 guess follows, and what neither guesses is coded by the order-0 counts.
-Order-0 intervals are renewed at fixed steps.
-
-Layout of a segment (little-endian): ``LWT1``, u32 ids, u32 block length, u32 blocks;
-for each block u32 code words and u32 crc32 of its ids (as u32); then the blocks'
-code words (u16) one after the other.
+A segment is a run of ids, cut into blocks of equal length. Its header holds the prior
+that every block starts from: order-0 frequencies, and for frequent ids the order-1
+frequencies of their followers. Every block is reset to that prior and has its own code
+words and checksum, so any block can be decoded alone and damage stays within it. The
+blocks advance together, one id each per step, as lanes of numpy arrays; all arithmetic
+is on integers, so decoding repeats exactly what encoding did.
+
+A block learns as it goes. Its order-2 table gives the id that followed the last two ids
+before, with a confidence. Whether that guess is right is predicted by logistic mixing of
+what order 0, order 1 and order 2 say of it, with weights and counters that adapt after
+every id. An id that was not guessed is coded by its order-1 frequency, and one that is
+no listed follower by its order-0 frequency; ids outside of the prior as two halves.
+
+Layout of a segment (little-endian): ``LWT2``, u32 ids, u32 block length, u32 blocks, u32
+bytes of the prior, u32 crc32 of the prior; the prior (zlib); for each block u32 code words
+and u32 crc32 of its ids (as u32); then the blocks' code words (u16) one after the other.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 
-MAGIC, BLOCK, SLOTS = b"LWT1", 2048, 2048
-TOTAL, HALF = 1 << 16, np.uint64(16)
-RENEW = frozenset((16, 64, 256, 512, 1024))
+MAGIC, BLOCK, SLOTS = b"LWT2", 2048, 2048
+#: Ids and contexts that a prior lists at most, followers of a context, and how often a context or a pair must occur.
+IDS, CONTEXTS, FOLLOWERS, OFTEN, TWICE = 1 << 15, 4096, 1024, 24, 2
+T0, T1 = 1 << 16, 1 << 12
 _P = np.arange(1, 4096)
-STRETCH = np.concatenate([[-2047], np.clip(np.round(np.log(_P / (4096 - _P)) * 256), -2047, 2047)]).astype(np.int64)
-SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 1, 4095).astype(np.int64)
-
-
-class Model:
-    """The predictors of n lanes."""
-
-    def __init__(self, n: int):
-        self.lane = np.arange(n, dtype=np.int64)
-        self.base, self.conf_base = self.lane * SLOTS, self.lane * 16
-        self.table = [np.zeros(n * SLOTS, np.int32) for _ in range(2)]  # of order 1 and 2: id * 16 + confidence
-        self.right = [np.full(n * 16, 1 << 15, np.int64) for _ in range(2)]  # chance that a guess of that confidence is right
-        self.weight = [np.full(n, 26_000, np.int64) for _ in range(3)]
-        self.hi, self.lo = np.ones((n, 256), np.int32), np.ones((n, 16, 256), np.int32)
-        self.prev1, self.prev2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.renew()
-
-    def renew(self) -> None:
-        def intervals(count: np.ndarray) -> np.ndarray:
-            c = np.cumsum(count, -1, dtype=np.int64)
-            out = np.zeros((*count.shape[:-1], 257), np.int32)
-            out[..., 1:] = c * (TOTAL - 256) // c[..., -1:] + np.arange(1, 257)
-            return out.reshape(-1)
-
-        self.hi_at, self.lo_at = intervals(self.hi), intervals(self.lo)
-
-    def rows(self, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the lanes' high-byte and low-byte intervals start."""
-        return self.lane * 257, (self.lane * 16 + np.minimum(hi, 15)) * 257
-
-    def guess(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The order-2 and order-1 guesses, and the widths of their intervals out of TOTAL."""
-        self.at = [self.base + (self.prev1 * 0x9E35 >> 4 & SLOTS - 1), self.base + (self.prev1 * 0x2F0B + self.prev2 * 0x6C8D >> 3 & SLOTS - 1)]
-        e1, e2 = self.table[0][self.at[0]].astype(np.int64), self.table[1][self.at[1]].astype(np.int64)
-        self.g1, self.g2 = e1 >> 4, e2 >> 4
-        self.c1, self.c2 = e1 & 15, e2 & 15
-        self.k1, self.k2 = self.conf_base + self.c1, self.conf_base + self.c2
-        hi = self.g2 >> 8
-        h, lo = self.rows(hi)
-        h, lo = h + hi, lo + (self.g2 & 255)
-        p0 = (self.hi_at[h + 1] - self.hi_at[h]).astype(np.int64) * (self.lo_at[lo + 1] - self.lo_at[lo]) >> 20
-        self.same = self.g1 == self.g2
-        s1 = STRETCH[self.right[0][self.k1] >> 4]
-        self.x = (STRETCH[np.minimum(p0, 4095)], np.where(self.same, s1, -s1), STRETCH[self.right[1][self.k2] >> 4])
-        dot = sum(w * x for w, x in zip(self.weight, self.x, strict=True)) >> 16
-        self.p = SQUASH[np.clip(dot, -2047, 2047) + 2047]
-        wide2 = np.clip(self.p << 4, 64, TOTAL - 2048)
-        wide1 = np.where(self.same, 0, np.clip((TOTAL - wide2) * (self.right[0][self.k1] >> 4) >> 12, 16, TOTAL - wide2 - 1024))
-        return self.g2, self.g1, wide2, wide1
-
-    def learn(self, ids: np.ndarray, step: int) -> None:
-        hit = [ids == self.g1, ids == self.g2]
-        err = ((hit[1].astype(np.int64) << 12) - self.p) * 10
-        for w, x in zip(self.weight, self.x, strict=True):
+STRETCH = np.concatenate([[-2047], np.clip(np.round(np.log(_P / (4096 - _P)) * 256), -2047, 2047), [2047]]).astype(np.int64)
+SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 8, 3584).astype(np.int64)
+U16, U24, U32, LOW32 = np.uint64(16), np.uint64(24), np.uint64(1 << 32), np.uint64(0xFFFFFFFF)
+
+
+def _shares(counts: np.ndarray, sizes: np.ndarray, total: int) -> np.ndarray:
+    """Widths of at least 1 in proportion to counts, which sum up to total in each run of these sizes; the first of a run takes the rest."""
+    first = np.cumsum(sizes) - sizes
+    every = np.add.reduceat(counts, first)
+    w = 1 + counts * np.repeat(total - sizes, sizes) // np.repeat(every, sizes)
+    w[first] += total - np.add.reduceat(w, first)
+    return w
+
+
+def _planes(a: np.ndarray) -> bytes:
+    return a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+@dataclass
+class Prior:
+    """Order-0 and order-1 frequencies. Symbols: indices into ids, len(ids) standing for all others.
+
+    Row 0 of order 1 serves contexts without a row. The first entry of each row is its escape to order 0.
+    """
+
+    ids: np.ndarray  # ascending
+    width0: np.ndarray  # of each symbol
+    context: np.ndarray  # the symbol whose followers a row holds; of row 0, len(ids)
+    size: np.ndarray  # entries of each row
+    follower: np.ndarray  # symbol of each entry; of an escape, len(ids) + 1
+    width1: np.ndarray
+
+    @classmethod
+    def learn(cls, run: np.ndarray) -> Prior:
+        known, counts = np.unique(run, return_counts=True)
+        if len(known) > IDS:
+            keep = np.sort(np.lexsort((known, -counts))[:IDS])
+            known, counts = known[keep], counts[keep]
+        n = len(known)
+        counts = np.append(counts, max(1, len(run) - counts.sum()))
+        order0 = _shares(np.roll(counts, 1), np.array([n + 1]), T0)
+        x = symbols(run, known)
+        heads = np.flatnonzero(counts[:-1] >= OFTEN)
+        if len(heads) > CONTEXTS:
+            heads = np.sort(heads[np.lexsort((heads, -counts[heads]))[:CONTEXTS]])
+        row = np.zeros(n + 1, np.int64)
+        row[heads] = np.arange(1, len(heads) + 1)
+        pair = np.sort(row[x[:-1]] * (n + 1) + x[1:])
+        at = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
+        pair, often = pair[at], np.diff(np.append(at, len(pair)))
+        listed = (often >= TWICE) & (pair >= n + 1) & (pair % (n + 1) < n)
+        pair, often = pair[listed], often[listed]
+        rank = np.lexsort((pair, -often, pair // (n + 1)))
+        of = pair[rank] // (n + 1)
+        place = np.arange(len(of)) - np.searchsorted(of, of)
+        keep = np.sort(rank[place < FOLLOWERS])
+        pair, often = pair[keep], often[keep]
+        of = pair // (n + 1)
+        size = 1 + np.bincount(of, minlength=len(heads) + 1)
+        rest = np.append(1, counts[heads]) - np.bincount(of, often, len(heads) + 1).astype(np.int64)
+        first = np.cumsum(size) - size
+        entry = np.ones(int(size.sum()), bool)
+        entry[first] = False
+        follower, weight = np.full(len(entry), n + 1), np.empty(len(entry), np.int64)
+        follower[entry], weight[entry] = pair % (n + 1), often
+        weight[first] = np.maximum(rest, 1)
+        return cls(known, np.roll(order0, -1), np.append(n, heads), size, follower, _shares(weight, size, T1))
+
+    def dump(self) -> bytes:
+        gap = lambda a: np.diff(a, prepend=0)
+        step = gap(self.follower)
+        step[np.cumsum(self.size) - self.size] = 0  # followers ascend within a row
+        first = np.cumsum(self.size) - self.size
+        step[first[self.size > 1] + 1] = self.follower[first[self.size > 1] + 1]
+        parts = [gap(self.ids), self.width0, gap(self.context[1:]), self.size, step, self.width1]
+        return zlib.compress(struct.pack("<II", len(self.ids), len(self.size)) + b"".join(map(_planes, parts)), 6)
+
+    @classmethod
+    def load(cls, raw: bytes) -> Prior:
+        raw = zlib.decompress(raw)
+        n, rows = struct.unpack_from("<II", raw)
+        at = 8
+
+        def take(count: int) -> np.ndarray:
+            nonlocal at
+            a = np.frombuffer(raw, np.uint8, 4 * count, at).reshape(4, count).T.copy().view("<u4").ravel().astype(np.int64)
+            at += 4 * count
+            return a
+
+        ids, width0, context, size = np.cumsum(take(n)), take(n + 1), np.cumsum(take(rows - 1)), take(rows)
+        step, width1 = take(int(size.sum())), take(int(size.sum()))
+        first = np.cumsum(size) - size
+        total = np.cumsum(step)
+        follower = total - np.repeat(total[first], size)
+        follower[first] = n + 1
+        return cls(ids, width0, np.append(n, context), size, follower, width1)
+
+    def ready(self) -> Prior:
+        """Adds the lookup tables that both directions need."""
+        n = len(self.ids)
+        self.start0, self.start1 = np.cumsum(self.width0) - self.width0, np.cumsum(self.width1) - self.width1
+        self.first = np.cumsum(self.size) - self.size
+        self.start1 %= T1
+        self.row = np.zeros(n + 2, np.int64)
+        self.row[self.context[1:]] = np.arange(1, len(self.size))
+        self.of = np.repeat(self.context, self.size)
+        self.of[self.first] = -1  # an escape is no guess
+        share = np.append(self.width0 >> 4, 0)[self.follower]
+        self.say0, self.say1 = STRETCH[np.minimum(share, 4095)], STRETCH[self.width1]
+        return self
+
+
+def symbols(run: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Indices into known, len(known) for ids that are not there."""
+    if not len(known):
+        return np.zeros(len(run), np.int64)
+    if int(known[-1]) < 1 << 20:
+        table = np.full(1 << 20, len(known))
+        table[known] = np.arange(len(known))
+        return np.where(run < 1 << 20, table[np.minimum(run, (1 << 20) - 1)], len(known))
+    at = np.minimum(np.searchsorted(known, run), len(known) - 1)
+    return np.where(known[at] == run, at, len(known))
+
+
+class Mixer:
+    """What n blocks learn: order-2 guesses (entries of the prior), their counters, and the mixing weights."""
+
+    def __init__(self, n: int, prior: Prior):
+        self.prior, self.base, self.counter_base = prior, np.arange(n) * SLOTS, np.arange(n) * 16
+        self.table = np.zeros(n * SLOTS, np.int32)  # entry * 16 + confidence
+        self.right = np.full(n * 16, T0 // 2, np.int64)  # chance that a guess of that confidence is right
+        self.weight = [np.full(n, w, np.int64) for w in (6_000, 20_000, 40_000)]
+        self.last, self.before = np.full(n, len(prior.ids)), np.full(n, len(prior.ids))
+
+    def guess(self) -> tuple[np.ndarray, np.ndarray]:
+        """The guessed entries (-1: none) and the chances, out of T1, that they are right."""
+        self.at = self.base + ((self.last * 0x9E35 + self.before * 0x6C8D) >> 4 & SLOTS - 1)
+        held = self.table[self.at]
+        entry, self.sure = held >> 4, held & 15
+        self.valid = self.prior.of[entry] == self.last
+        self.counter = self.counter_base + self.sure
+        self.says = (self.prior.say0[entry], self.prior.say1[entry], STRETCH[self.right[self.counter] >> 4])
+        dot = self.weight[0] * self.says[0]
+        dot += self.weight[1] * self.says[1]
+        dot += self.weight[2] * self.says[2]
+        dot >>= 16
+        np.clip(dot, -2047, 2047, out=dot)
+        dot += 2047
+        self.p = SQUASH[dot] * self.valid
+        self.entry = np.where(self.valid, entry, -1)
+        return self.entry, self.p
+
+    def learn(self, entry: np.ndarray, symbol: np.ndarray) -> None:
+        hit = entry == self.entry
+        err = ((hit.astype(np.int64) << 12) - self.p) * (self.valid * 6)
+        for w, x in zip(self.weight, self.says, strict=True):
             w += x * err + 0x2000 >> 14
-        for right, k, h in zip(self.right, (self.k1, self.k2), hit, strict=True):
-            old = right[k]
-            right[k] = old + (np.where(h, TOTAL - 64, 64) - old >> 4)
-        for table, at, g, c, h in zip(self.table, self.at, (self.g1, self.g2), (self.c1, self.c2), hit, strict=True):
-            table[at] = np.where(h, g * 16 + np.minimum(c + 1, 15), np.where(c > 1, g * 16 + (c >> 1), ids * 16 + 1))
-        hi = ids >> 8
-        self.hi[self.lane, hi] += 24
-        self.lo[self.lane, np.minimum(hi, 15), ids & 255] += 24
-        self.prev2, self.prev1 = self.prev1, ids
-        if step in RENEW:
-            self.renew()
+        was = self.right[self.counter]
+        self.right[self.counter] = was + ((np.where(hit, T0 - 64, 64) - was >> 4) * self.valid)
+        self.table[self.at] = np.where(hit, entry * 16 + np.minimum(self.sure + 1, 15), np.where(self.valid & (self.sure > 1), self.entry * 16 + (self.sure >> 1), entry * 16 + 1))
+        self.before, self.last = self.last, symbol
 
 
 class Encoder:
+    """Range coders side by side: 48 bits of low, carries kept as bit 16 of the words until the end."""
+
     def __init__(self, n: int, steps: int):
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, 1 << 48, np.uint64)
-        self.out, self.size = np.zeros((steps + 64, n), np.uint32), np.zeros(n, np.int64)
+        self.out, self.size = np.zeros((n, steps // 2 + 64), np.uint32), np.zeros(n, np.int64)
 
-    def put(self, start: np.ndarray, width: np.ndarray) -> None:
-        part = self.range >> HALF
-        self.low += part * start.astype(np.uint64)
-        self.range = part * width.astype(np.uint64)
-        self.shift(np.flatnonzero(self.range < np.uint64(1 << 32)))
+    def put(self, start: np.ndarray, width: np.ndarray, bits: np.uint64, lanes: np.ndarray | slice = slice(None)) -> None:
+        part = self.range[lanes] >> bits
+        self.low[lanes] += part * start.astype(np.uint64)
+        self.range[lanes] = part * width.astype(np.uint64)
+        self.shift(np.flatnonzero(self.range < U32))
 
     def shift(self, lanes: np.ndarray) -> None:
         if len(lanes):
             low, at = self.low[lanes], self.size[lanes]
-            if at.max() >= len(self.out):
-                self.out = np.concatenate([self.out, np.zeros_like(self.out)])
-            self.out[at, lanes] = low >> np.uint64(32)  # bit 16 is a carry
-            self.low[lanes] = (low & np.uint64(0xFFFFFFFF)) << HALF
-            self.range[lanes] <<= HALF
+            if at.max() >= self.out.shape[1]:
+                self.out = np.concatenate([self.out, np.zeros_like(self.out)], 1)
+            self.out[lanes, at] = low >> np.uint64(32)
+            self.low[lanes] = (low & LOW32) << U16
+            self.range[lanes] <<= U16
             self.size[lanes] = at + 1
 
     def finish(self) -> list[bytes]:
         for _ in range(3):
             self.shift(np.arange(len(self.low)))
-        top = int(self.size.max())
-        for k in range(top - 1, 0, -1):
-            self.out[k - 1] += self.out[k] >> 16
-        words = self.out[:top].astype("<u2").T.copy()
+        words = self.out[:, : int(self.size.max())]
+        for k in range(words.shape[1] - 1, 0, -1):
+            words[:, k - 1] += words[:, k] >> 16
+        words = words.astype("<u2")
         return [words[i, :s].tobytes() for i, s in enumerate(self.size.tolist())]
 
 
@@ -136,95 +235,131 @@ class Decoder:
         self.end = len(self.words) - 1
         self.range, self.code = np.full(n, 1 << 48, np.uint64), np.zeros(n, np.uint64)
         for _ in range(3):
-            self.code = self.code << HALF | self.words[self.at]
+            self.code = self.code << U16 | self.words[np.minimum(self.at, self.end)]
             self.at = self.at + 1
 
-    def value(self) -> np.ndarray:
-        self.part = self.range >> HALF
-        return np.minimum(self.code // self.part, np.uint64(TOTAL - 1)).astype(np.int64)
+    def value(self, bits: np.uint64, lanes: np.ndarray | slice = slice(None)) -> np.ndarray:
+        self.part = self.range[lanes] >> bits
+        return np.minimum(self.code[lanes] // self.part, np.uint64((1 << int(bits)) - 1)).astype(np.int64)
 
-    def take(self, start: np.ndarray, width: np.ndarray) -> None:
-        self.code -= self.part * start.astype(np.uint64)
-        self.range = self.part * width.astype(np.uint64)
-        lanes = np.flatnonzero(self.range < np.uint64(1 << 32))
-        if len(lanes):
-            at = self.at[lanes]
-            self.code[lanes] = self.code[lanes] << HALF | self.words[np.minimum(at, self.end)]
-            self.range[lanes] <<= HALF
-            self.at[lanes] = at + 1
+    def take(self, start: np.ndarray, width: np.ndarray, lanes: np.ndarray | slice = slice(None)) -> None:
+        self.code[lanes] -= self.part * start.astype(np.uint64)
+        self.range[lanes] = self.part * width.astype(np.uint64)
+        low = np.flatnonzero(self.range < U32)
+        if len(low):
+            at = self.at[low]
+            self.code[low] = self.code[low] << U16 | self.words[np.minimum(at, self.end)]
+            self.range[low] <<= U16
+            self.at[low] = at + 1
 
 
-def _find(at: np.ndarray, row: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """The symbol whose interval holds the value, by halving."""
-    low = row.copy()
-    for step in (128, 64, 32, 16, 8, 4, 2, 1):
-        low += step * (at[low + step] <= value)
-    return low - row
+def _grid(n: int, block: int) -> tuple[int, int]:
+    lanes = max(1, -(-n // block))
+    return -(-n // lanes), lanes
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """A segment holding these ids (each under 65,536)."""
+    """A segment holding these ids (each of 32 bits, unsigned)."""
     n = len(ids)
-    if n and (int(ids.max()) >= 1 << 16 or int(ids.min()) < 0):
-        raise ValueError("ids must be under 65,536")
-    lanes = max(1, -(-n // block))
-    steps = -(-n // lanes)
-    padded = np.zeros(lanes * steps, np.int64)
+    if n and (int(ids.max()) >= 1 << 32 or int(ids.min()) < 0):
+        raise ValueError("ids must be unsigned and of 32 bits")
+    if not n:
+        return MAGIC + struct.pack("<IIIII", 0, 0, 0, 0, zlib.crc32(b""))
+    steps, lanes = _grid(n, block)
+    padded = np.full(lanes * steps, ids[0], np.int64)
     padded[:n] = ids
-    grid = padded.reshape(lanes, steps).T.copy()
-    model, coder = Model(lanes), Encoder(lanes, steps)
+    prior = Prior.learn(padded).ready()
+    other = len(prior.ids)
+    x = symbols(padded, prior.ids).reshape(lanes, steps).T.copy()
+    row = prior.row[np.vstack([np.full((1, lanes), other), x[:-1]])]
+    # the entry of each id in its context's row, or the row's escape
+    keys = np.append(prior.row[prior.of] * (other + 2) + prior.follower, np.iinfo(np.int64).max)
+    keys[prior.first] = np.arange(len(prior.first)) * (other + 2) - 1  # ahead of the row's followers
+    entries = np.empty((steps, lanes), np.int32)
+    width = (len(prior.size) + 1) * (other + 2)
+    if width <= 1 << 25:
+        lookup = np.zeros(width, np.int32)
+        real = np.ones(len(prior.follower), bool)
+        real[prior.first] = False
+        lookup[keys[:-1][real]] = np.flatnonzero(real)
+        for t in range(steps):
+            e = lookup[row[t] * (other + 2) + x[t]]
+            entries[t] = np.where(e == 0, prior.first[row[t]], e)
+    else:
+        for t in range(steps):
+            key = row[t] * (other + 2) + x[t]
+            e = np.searchsorted(keys, key)
+            entries[t] = np.where(keys[e] == key, e, prior.first[row[t]])
+    del row
+    wide = padded.reshape(lanes, steps).T
+    model, coder = Mixer(lanes, prior), Encoder(lanes, steps)
     for t in range(steps):
-        x = grid[t]
-        g2, g1, w2, w1 = model.guess()
-        is2, is1 = x == g2, (x == g1) & ~model.same
-        coder.put(np.where(is2, 0, np.where(is1, w2, w2 + w1)), np.where(is2, w2, np.where(is1, w1, TOTAL - w2 - w1)))
-        rest = np.flatnonzero(~(is2 | is1))
+        e = entries[t].astype(np.int64)
+        guess, p = model.guess()
+        hit = e == guess
+        left = T1 - p
+        coder.put(np.where(hit, 0, p * T1 + left * prior.start1[e]), np.where(hit, p * T1, left * prior.width1[e]), U24)
+        rest = np.flatnonzero(prior.of[e] < 0)
         if len(rest):
-            hi, lo = x >> 8, x & 255
-            for at, k in zip((model.hi_at, model.lo_at), (a + b for a, b in zip(model.rows(hi), (hi, lo), strict=True)), strict=True):
-                start, end = np.zeros(lanes, np.int64), np.full(lanes, TOTAL, np.int64)
-                start[rest], end[rest] = at[k[rest]], at[k[rest] + 1]
-                coder.put(start, end - start)
-        model.learn(x, t)
-    codes = coder.finish() if n else [b""]
-    raw = ids.astype("<u4").tobytes()
-    head = b"".join(struct.pack("<II", len(c) // 2, zlib.crc32(raw[4 * k * steps : 4 * (k + 1) * steps])) for k, c in enumerate(codes))
-    return MAGIC + struct.pack("<III", n, steps, lanes) + head + b"".join(codes)
-
-
-def decode(segment: bytes) -> np.ndarray:
-    """The ids of a segment; ValueError if a block's checksum does not hold."""
+            s = x[t, rest]
+            coder.put(prior.start0[s], prior.width0[s], U16, rest)
+            raw = rest[s == other]
+            if len(raw):
+                for half in (wide[t, raw] >> 16, wide[t, raw] & 0xFFFF):
+                    coder.put(half, np.ones(len(raw), np.int64), U16, raw)
+        model.learn(e, x[t])
+    codes, plain, head = coder.finish(), ids.astype("<u4").tobytes(), prior.dump()
+    sums = b"".join(struct.pack("<II", len(c) // 2, zlib.crc32(plain[4 * k * steps : 4 * (k + 1) * steps])) for k, c in enumerate(codes))
+    return MAGIC + struct.pack("<IIIII", n, steps, lanes, len(head), zlib.crc32(head)) + head + sums + b"".join(codes)
+
+
+def decode(segment: bytes, damaged: list[int] | None = None) -> np.ndarray:
+    """The ids of a segment. A block whose checksum does not hold is added to damaged; without that list it is a ValueError."""
     if segment[:4] != MAGIC:
         raise ValueError("not a token segment")
-    n, steps, lanes = struct.unpack_from("<III", segment, 4)
-    head = np.frombuffer(segment, "<u4", 2 * lanes, 16).reshape(lanes, 2)
+    n, steps, lanes, size, crc = struct.unpack_from("<IIIII", segment, 4)
+    raw_prior = segment[24 : 24 + size]
+    if zlib.crc32(raw_prior) != crc:
+        raise ValueError("checksum of the prior does not hold")
     if not n:
         return np.zeros(0, np.int64)
-    words = np.frombuffer(segment, "<u2", -1, 16 + 8 * lanes)
-    coder, model = Decoder(np.split(words, np.cumsum(head[:, 0].astype(np.int64))[:-1])), Model(lanes)
+    prior = Prior.load(raw_prior).ready()
+    other = len(prior.ids)
+    head = np.frombuffer(segment, "<u4", 2 * lanes, 24 + size).reshape(lanes, 2)
+    words = np.frombuffer(segment, "<u2", -1, 24 + size + 8 * lanes)
+    coder, model = Decoder(np.split(words, np.cumsum(head[:, 0].astype(np.int64))[:-1])), Mixer(lanes, prior)
+    slot0 = np.repeat(np.arange(other + 1, dtype=np.int32), prior.width0)
+    local = np.arange(len(prior.follower)) - np.repeat(prior.first, prior.size)
+    slot1 = np.repeat(local.astype(np.uint16), prior.width1)
+    known = np.append(prior.ids, 0)
     grid = np.zeros((steps, lanes), np.int64)
     for t in range(steps):
-        g2, g1, w2, w1 = model.guess()
-        v = coder.value()
-        is2, is1 = v < w2, (v >= w2) & (v < w2 + w1)
-        coder.take(np.where(is2, 0, np.where(is1, w2, w2 + w1)), np.where(is2, w2, np.where(is1, w1, TOTAL - w2 - w1)))
-        x = np.where(is2, g2, g1)
-        rest = np.flatnonzero(~(is2 | is1))
+        guess, p = model.guess()
+        v = coder.value(U24)
+        flag = p * T1
+        hit = v < flag
+        left = T1 - p
+        row = prior.row[model.last]
+        e = np.where(hit, guess, prior.first[row] + slot1[row * T1 + np.maximum(v - flag, 0) // left])
+        coder.take(np.where(hit, 0, flag + left * prior.start1[e]), np.where(hit, flag, left * prior.width1[e]))
+        x = prior.follower[e]
+        rest = np.flatnonzero(prior.of[e] < 0)
         if len(rest):
-            byte = np.zeros(lanes, np.int64)
-            for k, at in enumerate((model.hi_at, model.lo_at)):
-                row = model.rows(byte)[k][rest]
-                s = _find(at, row, coder.value()[rest])
-                start, end = np.zeros(lanes, np.int64), np.full(lanes, TOTAL, np.int64)
-                start[rest], end[rest] = at[row + s], at[row + s + 1]
-                coder.take(start, end - start)
-                byte[rest] = (byte[rest] << 8) + s
-            x[rest] = byte[rest]
-        model.learn(x, t)
-        grid[t] = x
+            s = slot0[coder.value(U16, rest)].astype(np.int64)
+            coder.take(prior.start0[s], prior.width0[s], rest)
+            x[rest] = s
+        grid[t] = known[x]
+        if len(rest) and len(raw := rest[x[rest] == other]):
+            for _ in range(2):
+                half = coder.value(U16, raw)
+                coder.take(half, np.ones(len(raw), np.int64), raw)
+                grid[t, raw] = (grid[t, raw] << 16) + half
+        model.learn(e, x)
     ids = grid.T.reshape(-1)[:n]
-    raw = ids.astype("<u4").tobytes()
-    for k, crc in enumerate(head[:, 1].tolist()):
-        if zlib.crc32(raw[4 * k * steps : 4 * (k + 1) * steps]) != crc:
-            raise ValueError(f"checksum of block {k} does not hold")
+    plain = ids.astype("<u4").tobytes()
+    for k, want in enumerate(head[:, 1].tolist()):
+        if zlib.crc32(plain[4 * k * steps : 4 * (k + 1) * steps]) != want:
+            if damaged is None:
+                raise ValueError(f"checksum of block {k} does not hold")
+            damaged.append(k)
     return ids

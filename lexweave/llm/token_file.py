@@ -10,55 +10,129 @@ segment of ``token_coder``. A segment holds whole documents and is decoded alone
 from __future__ import annotations
 
 import functools
+import itertools
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.llm import token_coder
-from lexweave.llm.bpe import chunks
-from lexweave.llm.words import pieces
+from lexweave.llm.bpe import text_slices
 
 END = 2
+#: Bytes of text that are encoded together.
+RUN = 2_500_000
 #: Most segments whose start positions are broadcast; beyond, the join shuffles.
 BROADCAST_SEGMENTS = 1_000_000
 
 
+#: Fixed value: a space before anything but white space, where a byte-level pre-tokenizer always begins a piece.
+_CUT = re.compile(r" (?=\S)")
+
+
 class LibraryEncoder:
-    """The tokenizers library behind a bounded cache of pieces.
+    """The tokenizers library behind a bounded cache of words.
 
-    The library merges within the pieces that its pre-tokenizer cuts, so each distinct piece is
-    encoded once; texts with a special token go through the library whole.
+    The library merges within the pieces that a byte-level pre-tokenizer cuts, and one always begins
+    at a space that something other than white space follows. Texts are cut there, and each distinct
+    word, with its space, is encoded once. Texts with a special token go through the library whole,
+    as do all texts of a vocabulary of another kind. cache_size: words whose ids are kept; when full,
+    the cache starts anew, so memory is bounded.
     """
 
-    def __init__(self, path: str, cache_size: int = 150_000):
+    def __init__(self, path: str, cache_size: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
         self.tool.no_truncation()
         self.tool.no_padding()
+        spec = json.loads(self.tool.to_str())
+        cutter = spec["pre_tokenizer"] or {}
+        self.cuts = not spec["normalizer"] and cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True)
         self.special = [x.content for x in self.tool.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
         self.cache_size = cache_size
-
-    def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts as little-endian unsigned 32-bit integers."""
-        split = [None if any(s in t for s in self.special) else pieces(t) for t in texts]
-        new = {w for words in split if words for w in words if w not in self.cache}
-        if len(self.cache) + len(new) > self.cache_size:
-            self.cache.clear()
-            new = {w for words in split if words for w in words}
-        todo = list(new)
-        self.cache.update(zip(todo, self.library(todo), strict=True))
-        get = self.cache.__getitem__
-        return [self.library([t])[0] if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
+        self.forget()
+
+    def forget(self) -> None:
+        self.cache: dict[str, int] = {}  # of words with the space before them: which run of the pool
+        self.pool, self.at, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), 0  # run k is pool[at[k]:at[k + 1]]
+
+    def library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def runs_of(self, words: list[str]) -> np.ndarray:
+        """The pool's runs of words, each after a space; words not there yet go through the library."""
+        new = [w for w in words if w not in self.cache]
+        if self.n + len(new) > self.cache_size:
+            self.forget()
+            new = words
+        if new:
+            ids = self.library([" " + w for w in new])
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            k, end = self.n, int(self.at[self.n])
+            total = end + int(size.sum())
+            if total > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros(total, np.uint32)])
+            if k + len(new) >= len(self.at):
+                self.at = np.concatenate([self.at, np.zeros(k + len(new) + 1, np.int64)])
+            self.pool[end:total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total - end)
+            self.at[k + 1 : k + 1 + len(new)] = end + np.cumsum(size)
+            self.cache.update(zip(new, range(k, k + len(new)), strict=True))
+            self.n += len(new)
+        return np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of whole texts (null: empty) one after the other, and how many each text has."""
+        texts = pc.fill_null(texts, "")
+        cut = pc.split_pattern(texts, " ")
+        first = cut.offsets.to_numpy().astype(np.int64)
+        first, words = first - first[0], cut.flatten()
+        coded = words.dictionary_encode()
+        distinct, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        whole = np.zeros(len(texts), bool)
+        if self.cuts:
+            for s in self.special:
+                whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+            # a space before white space, or at the end, is no place to cut
+            loose = np.fromiter((not w or w[0].isspace() for w in distinct), bool, len(distinct))
+            if loose.any():
+                held = loose[code]
+                held[first[:-1]] = False
+                whole |= np.add.reduceat(np.append(held, False), first[:-1]) * (np.diff(first) > 0) > 0
+        else:
+            whole[:] = True
+        run = self.runs_of(distinct)
+        size = (self.at[run + 1] - self.at[run])[code]
+        begin = self.at[run][code]
+        heads = words.take(pa.array(first[:-1])).to_pylist()  # words with no space before them
+        own: dict[int, np.ndarray] = {}
+        odd = np.flatnonzero(whole).tolist()
+        head_ids = self.library(heads)
+        for i in odd:
+            own[i] = self.odd(texts[i].as_py())
+            size[first[i] : first[i + 1]] = 0
+        size[first[:-1]] = 0
+        before = np.cumsum(size) - size
+        flat = self.pool[np.repeat(begin - before, size) + np.arange(int(size.sum()))]
+        edge = np.append(before, len(flat))[first]
+        parts = [x for i, h in enumerate(head_ids) for x in ([own[i]] if i in own else [np.array(h, np.uint32), flat[edge[i] : edge[i + 1]]])]
+        counts = np.array([len(own[i]) if i in own else len(h) + edge[i + 1] - edge[i] for i, h in enumerate(head_ids)], np.int64)
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), counts
+
+    def odd(self, text: str) -> np.ndarray:
+        """The ids of a text that can't be cut at every space."""
+        if not self.cuts or any(s in text for s in self.special):
+            return np.array(self.library([text])[0], np.uint32)
+        words = _CUT.split(text)
+        run = self.runs_of(words[1:])
+        return np.concatenate([np.array(self.library(words[:1])[0], np.uint32), *(self.pool[self.at[k] : self.at[k + 1]] for k in run.tolist())])
 
 
 @functools.cache
@@ -81,28 +155,33 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, doc_id: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, part, seq = library(vocabulary), TaskContext.get().partitionId(), 0
-        names, held, size = [], [], 0
-        tail = np.array([end], "<u4").tobytes()
+        names, sizes, held, size = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal names, held, size, seq
-            tokens = [len(x) // 4 for x in held]
-            payload = token_coder.encode(np.frombuffer(b"".join(held), "<u4").astype(np.int64))
-            row = {"part": [part], "seq": [seq], "n_tokens": [sum(tokens)], "doc_ids": [names], "doc_tokens": [tokens], "payload": [payload]}
-            names, held, size, seq = [], [], 0, seq + 1
+            nonlocal names, sizes, held, size, seq
+            payload = token_coder.encode(np.concatenate(held).astype(np.int64))
+            row = {"part": [part], "seq": [seq], "n_tokens": [size], "doc_ids": [names], "doc_tokens": [sizes], "payload": [payload]}
+            names, sizes, held, size, seq = [], [], [], 0, seq + 1
             return pa.RecordBatch.from_pydict(row, schema=shape)
 
         for b in batches:
             shape = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(b.schema.field("doc_id").type)), ("doc_tokens", pa.list_(pa.int64())), ("payload", pa.binary())])
-            own = b.column("doc_id").to_pylist()
-            for first, texts in chunks(b, "text"):
-                for k, x in enumerate(tool.batch(texts)):
-                    names.append(own[first + k])
-                    held.append(x + tail)
-                    size += len(x) // 4 + 1
+            for first, texts in text_slices(b.column("text"), RUN):
+                flat, counts = tool.batch(texts)
+                flat = np.insert(flat, np.cumsum(counts), end)
+                at, counts = 0, counts + 1
+                own, ends = b.column("doc_id").slice(first, len(texts)).to_pylist(), np.cumsum(counts)
+                while at < len(own):  # up to the document that fills the segment
+                    begun = int(ends[at - 1]) if at else 0
+                    upto = min(len(own), int(np.searchsorted(ends, begun + segment - size)) + 1)
+                    names += own[at:upto]
+                    sizes += counts[at:upto].tolist()
+                    held.append(flat[begun : int(ends[upto - 1])])
+                    size += len(held[-1])
+                    at = upto
                     if size >= segment:
                         yield flush()
-        if held:
+        if names:
             yield flush()
 
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).withColumn("_h", F.xxhash64("text"))

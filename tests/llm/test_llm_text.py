@@ -26,39 +26,57 @@ def docs_of(spark, texts, extra=True):
 def library():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(queries.VOCABULARY)
+    return Tokenizer.from_file(queries.vocabulary())
 
 
 def test_bpe_equals_the_library(spark, data, library):
     texts = ODD + [r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").limit(60).collect()]
-    out = {r["doc_id"]: r for r in bpe.encode_decode(docs_of(spark, texts), queries.VOCABULARY, ids=True).collect()}
+    out = {r["doc_id"]: r for r in bpe.encode_decode(docs_of(spark, texts), queries.vocabulary(), ids=True).collect()}
     for i, t in enumerate([*texts, ""]):
         ids = library.encode(t, add_special_tokens=False).ids
         assert list(out[i]["ids"]) == ids and out[i]["n_tokens"] == len(ids)
         assert out[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         back = library.decode(ids, skip_special_tokens=False)
         assert out[i]["decoded"] == back and out[i]["decoded_sha256"] == hashlib.sha256(back.encode()).hexdigest()
-    assert bpe.encode_decode(docs_of(spark, ["x"]).where("false"), queries.VOCABULARY).count() == 0
+    assert bpe.encode_decode(docs_of(spark, ["x"]).where("false"), queries.vocabulary()).count() == 0
 
 
-@pytest.mark.parametrize("ids", [[], [5], [1] * 10, list(range(3000)), [65535] * 5000, list(np.random.default_rng(0).integers(0, 65536, 9000))])
+@pytest.mark.parametrize("ids", [[], [5], [1] * 10, list(range(3000)), [65535] * 5000, [2**32 - 1, 0, 7] * 900, list(np.random.default_rng(0).integers(0, 65536, 90_000)), list(np.random.default_rng(1).integers(0, 2**32, 9000)), list(np.random.default_rng(2).zipf(1.3, 60_000) % 50_000)])
 def test_coder_round_trip(ids):
     ids = np.array(ids, np.int64)
     assert (token_coder.decode(token_coder.encode(ids)) == ids).all()
 
 
-def test_coder_notices_damage():
-    raw = bytearray(token_coder.encode(np.arange(5000) % 300))
+def test_coder_damage_stays_in_its_block():
+    ids = np.random.default_rng(3).zipf(1.2, 30_000) % 5000
+    raw = bytearray(token_coder.encode(ids))
     raw[-7] ^= 0x55
     with pytest.raises(ValueError):
         token_coder.decode(bytes(raw))
+    steps, lanes = (int.from_bytes(raw[k : k + 4], "little") for k in (8, 12))
+    damaged = []
+    got = token_coder.decode(bytes(raw), damaged)
+    assert damaged == [lanes - 1] and (got[: steps * (lanes - 1)] == ids[: steps * (lanes - 1)]).all()
+    raw[30] ^= 0x55
     with pytest.raises(ValueError):
-        token_coder.encode(np.array([1 << 16]))
+        token_coder.decode(bytes(raw), [])
+    with pytest.raises(ValueError):
+        token_coder.encode(np.array([1 << 32]))
+
+
+def test_coder_beats_order_0(spark, library):
+    """Prior, checksums and all: fewer bits an id than the entropy of the ids' own frequencies."""
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    ids = np.array([i for e in library.encode_batch_fast(texts, add_special_tokens=False) for i in [*e.ids, 2]])
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    raw = token_coder.encode(ids)
+    assert (token_coder.decode(raw) == ids).all()
+    assert 8 * len(raw) / len(ids) < 0.85 * -(share * np.log2(share)).sum()
 
 
 def test_token_file(spark, tmp_path, library):
     docs = docs_of(spark, ODD)
-    token_file.write_tokens(docs, str(tmp_path / "t"), queries.VOCABULARY, segment=2000)
+    token_file.write_tokens(docs, str(tmp_path / "t"), queries.vocabulary(), segment=2000)
     rows = token_file.read_tokens(spark, str(tmp_path / "t"), ids=True).orderBy("start").collect()
     assert len(rows) == docs.count()
     at = 0
@@ -69,7 +87,7 @@ def test_token_file(spark, tmp_path, library):
         assert r["start"] == at and list(r["ids"]) == ids
         assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
         at += len(ids)
-    token_file.write_tokens(docs.where("false"), str(tmp_path / "e"), queries.VOCABULARY)
+    token_file.write_tokens(docs.where("false"), str(tmp_path / "e"), queries.vocabulary())
     assert token_file.read_tokens(spark, str(tmp_path / "e")).count() == 0
 
 
