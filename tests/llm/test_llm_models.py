@@ -118,6 +118,31 @@ def test_nearest(spark, kind):
     assert hit / total >= 0.9
 
 
+def test_nearest_stops_before_it_has_read_all(spark):
+    """20,000 vectors of 16 kinds in several cells and shards, one of them a thousand times; repeated queries."""
+    rng = np.random.default_rng(9)
+    m = rng.normal(size=(16, 48))[np.arange(20_000) % 16] * 0.6 + rng.normal(size=(20_000, 48))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    m[5000:6000] = m[5000]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id bigint, embedding array<double>")
+    asked = df.where("vec_id % 100 = 0")
+    rows = projection_index.nearest(df, asked.union(asked.where("vec_id < 1000")), Scratch(spark)).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 20_000, 100)) and all(len(x) == 20 for x in got.values())
+    hit = sum(len({i for i, _ in _brute(np.arange(20_000), m, 20, q)} & {i for i, _ in got[q]}) for q in got if not 5000 <= q < 6000)
+    assert hit / (20 * (len(got) - 10)) >= 0.9
+    assert all(abs(got[q][19][1] - 1) < 1e-9 for q in range(5000, 6000, 100))
+    assert np.mean([r["verified"] for r in rows]) < 0.3 * len(m)
+
+
+def test_nearest_of_repeated_ids(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0])], "vec_id bigint, embedding array<double>")
+    out = projection_index.nearest(df, df.where("vec_id = 0"), Scratch(spark)).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"], r["verified"]) for r in out) == [(1, 1, 2.0, 2), (1, 2, 3.0, 2), (2, 1, 0.0, 2), (2, 2, 0.0, 2)]
+
+
 def test_nearest_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.5, 0.5]), (3, [0.0, 2.0])], "vec_id bigint, embedding array<double>")
     out = projection_index.nearest(df, df.where("vec_id % 20 = 0"), Scratch(spark)).orderBy("query_id", "rank").collect()
