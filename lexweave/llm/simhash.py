@@ -169,7 +169,7 @@ def common_shingles(docs: DataFrame, size: int, doc_id: str, text: str) -> tuple
 
 
 def sketches(docs: DataFrame, size: int, similarity: float, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, fp, sid, m, prefix): the hash of the set of shingles, its size, its prefix. A narrow map."""
+    """(doc_id, key, fp, sid, m, prefix): hashes of the text and of the set of shingles, the set's size, its prefix. A narrow map."""
     kind = dict(docs.dtypes)[doc_id]
     known, often = common_shingles(docs, size, doc_id, text)
 
@@ -185,9 +185,10 @@ def sketches(docs: DataFrame, size: int, similarity: float, doc_id: str, text: s
                     sizes.append(len(own))
                     prefixes.append(prefix_of(own, known, often, similarity).view(np.int64))
             u64 = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), u64(fps), u64(sids), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "fp", "sid", "m", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), u64(fps), u64(sids), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "key", "fp", "sid", "m", "prefix"])
 
-    return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint, sid bigint, m int, prefix array<bigint>")
+    rows = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("key"), docs[text].alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, key bigint, fp bigint, sid bigint, m int, prefix array<bigint>")
 
 
 def set_hash(own: np.ndarray) -> int:
@@ -207,9 +208,10 @@ def similar_links(docs: DataFrame, own: DataFrame, edges: DataFrame, scratch: Sc
     each copy; only pairs that others join already are left out. Pairs that the prefixes do not rule
     out are verified on the whole sets; texts are read again for these only.
     """
-    known = own.where("doc_id IS NOT NULL AND m > 0")
+    known = own.where("m > 0")
     same = known.select("sid", "fp").distinct()
-    one = scratch.store(known.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.max("m").alias("m"), F.first("prefix").alias("prefix")), "prefix-sets")
+    one = known.groupBy("sid").agg(F.min(F.struct("doc_id", "key")).alias("r"), F.min("fp").alias("fp"), F.max("m").alias("m"), F.first("prefix").alias("prefix"))
+    one = scratch.store(one.select("sid", F.col("r.doc_id").alias("doc_id"), F.col("r.key").alias("key"), "fp", "m", "prefix"), "prefix-sets")
     named = one.select("sid", F.explode("prefix").alias("key"))
     buckets = named.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     entries = scratch.store(named.join(buckets, "key"), "prefix-entries")
@@ -230,9 +232,9 @@ def similar_links(docs: DataFrame, own: DataFrame, edges: DataFrame, scratch: Sc
         maybe = pairs.join(side("x"), "x").join(side("y"), "y").where(most >= similarity / (1 + similarity) * (F.col("mx") + F.col("my")) - 1e-6)
         maybe = scratch.store(maybe.select("x", "y", "a", "b"), f"{label}-maybe")
         ids = maybe.select(F.col("x").alias("sid")).union(maybe.select("y")).distinct()
-        wanted = scratch.store(one.select("sid", "doc_id").join(ids, "sid"), f"{label}-wanted")
-        texts = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).join(wanted, "doc_id").select("sid", "text")
-        # rows that repeat a doc_id with another text are not the one that stands for the set
+        wanted = scratch.store(one.select("sid", F.col("doc_id").alias("d"), F.col("key").alias("k")).join(ids, "sid"), f"{label}-wanted")
+        rows = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("key"), docs[text].alias("text"))
+        texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("sid", "text")
         held = scratch.store(texts.mapInArrow(sets, "sid bigint, is bigint, hs array<bigint>").where("sid = is").select("sid", "hs").dropDuplicates(["sid"]), f"{label}-sets")
         both = maybe.join(held.select(F.col("sid").alias("x"), F.col("hs").alias("hx")), "x").join(held.select(F.col("sid").alias("y"), F.col("hs").alias("hy")), "y")
         shared = F.size(F.array_intersect("hx", "hy"))
@@ -277,20 +279,22 @@ def keep_first(docs: DataFrame, scratch: Scratch, size: int = 5, similarity: flo
     """The rows of docs that are the first of their group, with the columns of docs.
 
     Groups are the components over links of both kinds: fingerprints within two bits, and shingle sets
-    of at least this similarity, which 64 bits within a radius of two can't tell. Of rows that
-    repeat a doc_id with the same text one stays. Rows without a doc_id can't be told apart and stay.
+    of at least this similarity, which 64 bits within a radius of two can't tell. The first is the one
+    of the smallest doc_id (a null one before all), then of the smallest text hash: a row is told by
+    both, so rows that repeat a doc_id with another text are documents of their own. Of rows that
+    repeat both one stays. Texts without a word are one group.
     """
     own = scratch.store(sketches(docs, size, similarity, doc_id, text), "keep-fp")
     near = scratch.store(links(own), "keep-links")
     edges = similar_links(docs, own, near, scratch, size, similarity, doc_id, text)
-    near = scratch.store(grouped(own, edges, scratch, "keep"), "keep-near")
-    gone = near.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    repeated = near.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    kept = docs.join(gone, doc_id, "left_anti").select(docs.columns)
-    return kept if repeated.isEmpty() else _once(kept, doc_id, text)
-
-
-def _once(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """docs with one of the rows that repeat both doc_id and text; rows without an id stay."""
-    known = docs.where(F.col(doc_id).isNotNull()).withColumn("_t", F.xxhash64(text)).dropDuplicates([doc_id, "_t"]).drop("_t")
-    return known.unionByName(docs.where(F.col(doc_id).isNull()))
+    cc = scratch.store(components(edges, scratch, "keep"), "keep-cc")
+    row = F.struct("doc_id", "key")
+    classes = own.groupBy("fp").agg(F.min(row).alias("first")).join(cc.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    classes = scratch.store(classes, "keep-classes")
+    least = classes.groupBy("component").agg(F.min("first").alias("least"))
+    gone = own.join(classes.join(least, "component").select("fp", "least"), "fp").where(~row.eqNullSafe(F.col("least")))
+    gone = scratch.store(gone.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "keep-gone")
+    kept = docs.join(gone, docs[doc_id].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_key")), "left_anti").select(docs.columns)
+    if own.groupBy("doc_id", "key").count().where("count > 1").isEmpty():
+        return kept
+    return kept.withColumn("_key", F.xxhash64(text)).dropDuplicates([doc_id, "_key"]).select(docs.columns)
