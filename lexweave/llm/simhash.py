@@ -113,6 +113,8 @@ def grouped(own: DataFrame, edges: DataFrame, scratch: Scratch, label: str) -> D
 BANDS = 16
 #: Documents of the sample that orders shingles, and how many shingles it names; by how much the compared texts of a bucket grow a round.
 SAMPLE, COMMON, GROWTH = 20_000, 100_000, 16
+#: Bits that bound the difference of two sets of shingles.
+ODD = 1024
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
@@ -169,13 +171,13 @@ def common_shingles(docs: DataFrame, size: int, doc_id: str, text: str) -> tuple
 
 
 def sketches(docs: DataFrame, size: int, similarity: float, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, key, fp, sid, m, prefix): hashes of the text and of the set of shingles, the set's size, its prefix. A narrow map."""
+    """(doc_id, key, fp, sid, m, odd, prefix): hashes of the text and of the set of shingles, the set's size, odd bits and prefix. A narrow map."""
     kind = dict(docs.dtypes)[doc_id]
     known, often = common_shingles(docs, size, doc_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, sids, sizes, prefixes = [], [], [], []
+            fps, sids, sizes, odds, prefixes = [], [], [], [], []
             for _, texts in chunks(b, "text"):
                 for t in texts:
                     h = shingle_hashes(t, size)
@@ -183,12 +185,23 @@ def sketches(docs: DataFrame, size: int, similarity: float, doc_id: str, text: s
                     fps.append(fingerprint(h))
                     sids.append(set_hash(own))
                     sizes.append(len(own))
+                    odds.append(odd_bits(own))
                     prefixes.append(prefix_of(own, known, often, similarity).view(np.int64))
             u64 = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), u64(fps), u64(sids), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "key", "fp", "sid", "m", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), u64(fps), u64(sids), pa.array(sizes, pa.int32()), pa.array(odds, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "key", "fp", "sid", "m", "odd", "prefix"])
 
     rows = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("key"), docs[text].alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, key bigint, fp bigint, sid bigint, m int, prefix array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {kind}, key bigint, fp bigint, sid bigint, m int, odd array<bigint>, prefix array<bigint>")
+
+
+def odd_bits(own: np.ndarray) -> np.ndarray:
+    """ODD bits, as 64-bit words: whether an odd number of a set's hashes falls on each.
+
+    A hash that only one of two sets has flips one bit, so the bits that differ are a lower bound of
+    the hashes that differ.
+    """
+    bits = np.bincount((own * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - ODD.bit_length() + 1)).astype(np.int64), minlength=ODD) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def set_hash(own: np.ndarray) -> int:
@@ -205,13 +218,15 @@ def similar_links(docs: DataFrame, own: DataFrame, edges: DataFrame, scratch: Sc
     buckets, is compared with the others. In each later round the buckets that are not one component yet
     compare GROWTH times as many of their texts with all texts of other components, until a bucket is
     one component or all its texts were compared. A group of copies of one text costs about a pair for
-    each copy; only pairs that others join already are left out. Pairs that the prefixes do not rule
-    out are verified on the whole sets; texts are read again for these only.
+    each copy; only pairs that others join already are left out. Later rounds make no pair whose odd
+    bits differ in more hashes than the similarity allows, so texts that share passages but are not
+    similar meet without leaving rows. Pairs that the prefixes do not rule out are verified on the
+    whole sets; texts are read again for these only.
     """
     known = own.where("m > 0")
     same = known.select("sid", "fp").distinct()
-    one = known.groupBy("sid").agg(F.min(F.struct("doc_id", "key")).alias("r"), F.min("fp").alias("fp"), F.max("m").alias("m"), F.first("prefix").alias("prefix"))
-    one = scratch.store(one.select("sid", F.col("r.doc_id").alias("doc_id"), F.col("r.key").alias("key"), "fp", "m", "prefix"), "prefix-sets")
+    one = known.groupBy("sid").agg(F.min(F.struct("doc_id", "key")).alias("r"), F.min("fp").alias("fp"), F.max("m").alias("m"), F.first("odd").alias("odd"), F.first("prefix").alias("prefix"))
+    one = scratch.store(one.select("sid", F.col("r.doc_id").alias("doc_id"), F.col("r.key").alias("key"), "fp", "m", "odd", "prefix"), "prefix-sets")
     named = one.select("sid", F.explode("prefix").alias("key"))
     buckets = named.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     entries = scratch.store(named.join(buckets, "key"), "prefix-entries")
@@ -245,7 +260,12 @@ def similar_links(docs: DataFrame, own: DataFrame, edges: DataFrame, scratch: Sc
     def pairs_of(left: DataFrame, pivots: DataFrame, by: str) -> DataFrame:
         """(x, y, a, b): sets and fingerprints of the two, each pair once; sizes alone rule out some."""
         right = pivots.select("key", F.col("sid").alias("sid2"), F.col("fp").alias("fp2"), F.col("m").alias("m2"), F.col(by).alias("by2"))
-        met = left.join(right, "key").where((F.col(by) != F.col("by2")) & (F.least("m", "m2") >= similarity * F.greatest("m", "m2") - 1e-6))
+        may = (F.col(by) != F.col("by2")) & (F.least("m", "m2") >= similarity * F.greatest("m", "m2") - 1e-6)
+        if "odd" in left.columns:
+            right = right.join(one.select(F.col("sid").alias("sid2"), F.col("odd").alias("odd2")), "sid2")
+            differ = F.expr(" + ".join(f"bit_count(odd[{k}] ^ odd2[{k}])" for k in range(ODD // 64)))
+            may &= differ <= (1 - similarity) / (1 + similarity) * (F.col("m") + F.col("m2")) + 1e-6
+        met = left.join(right, "key").where(may)
         turned = F.col("sid") < F.col("sid2")
         pick = lambda p, q, name: F.when(turned, F.col(p)).otherwise(F.col(q)).alias(name)
         return met.select(pick("sid", "sid2", "x"), pick("sid2", "sid", "y"), pick("fp", "fp2", "a"), pick("fp2", "fp", "b")).distinct()
@@ -267,7 +287,7 @@ def similar_links(docs: DataFrame, own: DataFrame, edges: DataFrame, scratch: Sc
         if live.isEmpty():
             break
         pivots = live.where(F.pmod(F.xxhash64("sid"), F.lit(1 << 30)) / float(1 << 30) * F.col("n") < tries) if tries < most else live
-        fresh = pairs_of(live, pivots, "component").join(tested.select("x", "y"), ["x", "y"], "left_anti")
+        fresh = pairs_of(live.join(one.select("sid", "odd"), "sid"), pivots, "component").join(tested.select("x", "y"), ["x", "y"], "left_anti")
         fresh = scratch.store(fresh, f"prefix-pairs-{k}")
         tested = tested.union(fresh)
         edges = scratch.store(edges.union(verified(fresh, f"prefix-found-{k}")).distinct(), f"prefix-links-{k}")

@@ -342,3 +342,13 @@ def test_keep_first_tells_rows_by_id_and_text(spark):
     rows = [(1, a), (5, a), (5, b), (None, c), (None, c), (7, c), (8, None), (9, "")]
     kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string"), Scratch(spark)).collect()
     assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [(1, a), (5, b), (None, c), (8, None)]))
+
+
+def test_odd_bits_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 30, 700, 9000):
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        b = np.unique(np.concatenate([a[n // 5 :], rng.integers(0, 2**63, n // 4 + 1).astype(np.uint64)]))
+        apart = len(set(a.tolist()) ^ set(b.tolist()))
+        differ = sum(int(x).bit_count() for x in (simhash.odd_bits(np.unique(a)) ^ simhash.odd_bits(b)).view(np.uint64))
+        assert differ <= apart and (n != 30 or differ > 0.9 * apart)
