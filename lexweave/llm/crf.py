@@ -28,11 +28,13 @@ from lexweave.llm.bpe import chunks
 
 SLOT_BITS, BLOCK = 16, 32
 SLOTS = 1 << SLOT_BITS
-WORD = re.compile(r"[^\W\d_]+")
+#: A longer run of letters, as scripts without spaces have, counts as several words.
+LONGEST = 30
+WORD = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased words; none if no character is a letter."""
+    """Lower-cased words of LONGEST letters at most; none if no character is a letter."""
     w = WORD.findall(text.lower())
     return w if any(map(str.isalpha, w)) or any(c.isalpha() for c in text) else []
 
@@ -40,10 +42,10 @@ def words_of(text: str) -> list[str]:
 def slots(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Slots of the features of words, and which of them each word has: (words, features) arrays.
 
-    The word's bytes between marks, 60 at most, give its lexicon feature, prefixes of 2 to 4 bytes,
+    The word's bytes between marks give its lexicon feature, prefixes of 2 to 4 bytes,
     suffixes of 2 to 5, and all runs of two and three; hashes are computed for all words together.
     """
-    raw = [b"<" + w.encode()[:60] + b">" for w in words]
+    raw = [b"<" + w.encode() + b">" for w in words]
     size = np.array([len(r) for r in raw])
     width = max(6, int(size.max()))
     m = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in raw), np.uint8).reshape(-1, width).astype(np.uint32)
@@ -238,22 +240,22 @@ def fold(doc_id: str, folds: int):
     return F.crc32(F.col(doc_id).cast("string")) % folds
 
 
-def fit(docs: DataFrame, per_label: int = 300, longest: int = 100_000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Crf:
+def fit(docs: DataFrame, per_label: int = 300, longest: int = 100_000, budget: int = 60_000_000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Crf:
     """A model from docs, of whose rows with a lang a bounded sample is brought to the driver.
 
     per_label: about so many documents of each language, those with the smallest id hashes; longest:
-    texts of more characters are not in the sample, the others are in it whole. Both bound the
-    driver's memory whatever the input.
+    texts of more characters are not in the sample, the others are in it whole; budget: characters
+    that the sample may have, so that of many languages each gives fewer documents. All languages
+    that documents have are learned, and the driver's memory is bounded whatever the input.
     """
     rows = docs.where(F.col(lang).isNotNull() & (F.length(text) <= longest)).select(F.xxhash64(doc_id).alias("h"), F.col(lang).alias("y"), F.col(text).alias("t"))
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(1000).collect()}
+    counts = {r["y"]: (r["n"], r["mean"]) for r in rows.groupBy("y").agg(F.count("*").alias("n"), F.avg(F.length("t")).alias("mean")).orderBy("y").collect()}
     if not counts:
         return Crf([], np.zeros((SLOTS, 0)), np.zeros((0, 0)))
-    cut = F.lit(None)
-    for y, n in counts.items():  # a share of the hash range for each language
-        edge = min(2**63 - 1, int(per_label / n * 2**64) - 2**63)
-        cut = F.when(F.col("y") == y, F.lit(edge)).otherwise(cut)
-    held = rows.where(F.col("h") <= cut).select("h", "y", "t").orderBy("h").limit(2 * per_label * len(counts)).collect()
+    share = min(1.0, budget / max(1.0, sum(min(n, per_label) * mean for n, mean in counts.values())))
+    edges = {y: min(2**63 - 1, int(min(1.0, max(per_label * share, 1.0) / n) * 2**64) - 2**63) for y, (n, _) in counts.items()}  # a share of the hash range for each
+    cuts = docs.sparkSession.createDataFrame(list(edges.items()), "y string, edge bigint")
+    held = rows.join(F.broadcast(cuts), "y").where("h <= edge").select("h", "y", "t").orderBy("h", "y", "t").limit(int(2 * per_label * share * len(counts)) + 2 * len(counts)).collect()
     return train([r["t"] for r in held], [r["y"] for r in held])
 
 

@@ -134,7 +134,7 @@ def _found(kind: str, pattern: str, keep: str) -> str:
 
 
 _ASSIGN, _ACCESS, _HEX = (b[1] for b in secret_scan.BASE)
-_LONG = "regexp_full_match(h, '[A-Za-z0-9+/]{32,128}={0,2}') AND regexp_matches(h, '^[A-Za-z+/]{0,40}[0-9]') AND regexp_matches(h, '^[0-9+/]{0,40}[A-Za-z]')"
+_LONG = "regexp_full_match(h, '[A-Za-z0-9+/]{32,}={0,2}') AND regexp_matches(h, '[0-9]') AND regexp_matches(h, '[A-Za-z]')"
 _LIST = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e), '')"
 _SECRETS = f"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

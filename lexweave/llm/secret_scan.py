@@ -1,7 +1,7 @@
 """Secret scans with multipart credential linking.
 
 Base spans come from three patterns. The method adds weak parts, which alone say
-nothing: long mixed-character strings, and endpoints. A weak part is reported only
+nothing: strings of 32 letters and digits or more that mix both, and endpoints. A weak part is reported only
 if parts that complete it lie within its scope: a string needs an access identifier,
 an endpoint an access identifier and a secret. Scopes are found by an interval join
 on a grid of cells as wide as the scope, so a part meets only those in its own and
@@ -24,7 +24,7 @@ BASE = [
 ]
 WEAK = [
     ("endpoint", r"((?:https?|s3|ftps?)://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+)", 1, 10),
-    ("secret", r"((?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/]{0,40}[0-9])(?=[0-9+/]{0,40}[A-Za-z])[A-Za-z0-9+/]{32,128}={0,2}(?![A-Za-z0-9+/=_-]))", 1, 32),
+    ("secret", r"((?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/]*+[0-9])(?=[0-9+/]*+[A-Za-z])[A-Za-z0-9+/]{32,}+={0,2}+(?![A-Za-z0-9+/=_-]))", 1, 32),
 ]
 KINDS = [k for k, *_ in BASE + WEAK]
 SCOPE = 256

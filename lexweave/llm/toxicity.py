@@ -33,7 +33,7 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def slots(word: str) -> tuple[int, int, int]:
-    return tuple(zlib.crc32(p.encode()) & SLOTS - 1 for p in ("=" + word[:64], "4" + word[:4], "5" + word[:5]))
+    return tuple(zlib.crc32(p.encode()) & SLOTS - 1 for p in ("=" + word, "4" + word[:4], "5" + word[:5]))
 
 
 @dataclass

@@ -62,6 +62,11 @@ def test_code_switching_is_labelled_by_word(spark):
     assert np.mean([x == y for x, y in zip(names, want, strict=True)]) > 0.9
 
 
+def test_a_long_run_counts_whole():
+    run = "日本語" * 50
+    assert "".join(crf.words_of(run)) == run and max(map(len, crf.words_of(run))) == crf.LONGEST
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(3)
     words = [f"plain{i}" for i in range(400)]
