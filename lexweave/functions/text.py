@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,7 +27,13 @@ def strip_annotations(c: Column) -> Column:
 
 
 _ALTERNATIVES = "|".join(sorted((w for w in RUN_ON_WORDS if len(w) >= 3), key=lambda w: (-len(w), w)))
-RUN_ON = rf"(?i)(?:{_ALTERNATIVES}){{2,}}"
+#: What a text must hold for a token of it to be cut: known words run together from a word's start to its end, 12 letters or more.
+RUN_ON = rf"(?i)(?<!\p{{L}})(?=[a-z]{{12}})(?:{_ALTERNATIVES}){{2,}}(?!\p{{L}})"
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that the plan holds, and works out, once."""
+    return F.transform(F.array(value), f)[0]
 
 
 def repair_token(t: Column) -> Column:
@@ -43,7 +51,7 @@ def repair_token(t: Column) -> Column:
 def repair_run_ons(c: Column) -> Column:
     """repair_token on every token of every line; texts without a candidate are not taken apart."""
     line = lambda x: F.array_join(F.transform(F.split(x, " "), repair_token), " ")
-    return F.when(c.rlike(RUN_ON), F.array_join(F.transform(F.split(c, "\n"), line), "\n")).otherwise(c)
+    return once(c, lambda x: F.when(x.rlike(RUN_ON), F.array_join(F.transform(F.split(x, "\n"), line), "\n")).otherwise(x))
 
 
 def fix_spacing(c: Column, run_ons: bool = True) -> Column:
@@ -61,11 +69,10 @@ def normalize_text(c: Column, run_ons: bool = True) -> Column:
 def tokens(c: Column, run_ons: bool = True) -> Column:
     """Search tokens in order: no stemming, no stop words; long alphabetic tokens are cut at case changes."""
     cut = lambda t: F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"[A-Z][a-z]+|[a-z]+|[A-Z]+"), F.lit(0)), F.lower), lambda p: F.length(p) > 1)
-    clean = fix_spacing(c, run_ons)
     raw = lambda x: F.filter(F.split(x, r"\s+"), lambda t: t != "")
-    mixed = F.flatten(F.transform(raw(clean), lambda t: F.when(t.rlike(r"^[A-Za-z]{20,}$"), cut(t)).otherwise(F.array(F.lower(t)))))
+    mixed = lambda x: F.flatten(F.transform(raw(x), lambda t: F.when(t.rlike(r"^[A-Za-z]{20,}$"), cut(t)).otherwise(F.array(F.lower(t)))))
     # most texts have no such token and need no look at each
-    return F.when(clean.rlike(r"(?:^|\s)[A-Za-z]{20,}(?:\s|$)"), mixed).otherwise(raw(F.lower(clean)))
+    return once(fix_spacing(c, run_ons), lambda x: F.when(x.rlike(r"(?:^|\s)[A-Za-z]{20,}(?:\s|$)"), mixed(x)).otherwise(raw(F.lower(x))))
 
 
 def normalize_block(c: Column) -> Column:
@@ -94,7 +101,7 @@ def doc_blob(c: Column) -> Column:
 def title_case(c: Column) -> Column:
     """Upper-case the first letter of every run of letters, lower-case the others."""
     pieces = F.regexp_extract_all(c, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
-    return F.array_join(F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1_000_000)))), "")
+    return F.array_join(F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substr(p, F.lit(2))))), "")
 
 
 def humanize(c: Column) -> Column:

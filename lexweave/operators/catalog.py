@@ -214,6 +214,7 @@ def match(queries: DataFrame, cat: DataFrame) -> DataFrame:
 
 
 def listing(chunks: DataFrame) -> DataFrame:
-    """(source_path, title, n_chunks) by title, and a last row with the totals."""
+    """(source_path, title, n_chunks, total_documents, total_chunks) by title; each row has the totals."""
     per = chunks.groupBy("source_path").agg(F.max("title").alias("title"), F.count("*").alias("n_chunks"))
-    return per.orderBy(F.lower("title"), "source_path")
+    totals = per.agg(F.count("*").alias("total_documents"), F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("total_chunks"))  # one row
+    return per.crossJoin(F.broadcast(totals)).orderBy(F.lower("title"), "source_path")

@@ -79,6 +79,34 @@ def upsert(candidates: DataFrame, extra: DataFrame, score: str) -> DataFrame:
     return both.groupBy("query_id", "chunk_id").agg(F.max("dense_score").alias("dense_score"), F.max("lexical_score").alias("lexical_score"), F.max("fused_score").alias("fused_score"))
 
 
+def named_filter(fused: DataFrame, where: DataFrame, named: DataFrame, plan: DataFrame, scan: DataFrame) -> DataFrame:
+    """The rows of fused that the document a question names leaves.
+
+    For a question with a target that compares nothing: the named documents' candidates; if there are
+    none, nothing if the scan found chunks that will stand for them; else all. Other questions keep all.
+    """
+    marks = fused.join(where, "chunk_id").join(named.select("query_id", "document_id", F.lit(True).alias("hit")), ["query_id", "document_id"], "left").join(plan.select("query_id", "target_document", "intent"), "query_id")
+    marks = marks.join(scan.select("query_id", F.lit(True).alias("scanned")).distinct(), "query_id", "left")
+    strict = F.col("target_document").isNotNull() & (F.col("intent") != "comparison")
+    any_hit = F.max(F.coalesce("hit", F.lit(False))).over(Window.partitionBy("query_id"))
+    return marks.withColumn("any_hit", any_hit).where(~strict | (F.col("any_hit") & F.coalesce("hit", F.lit(False))) | (~F.col("any_hit") & F.col("scanned").isNull()))
+
+
+def document_boosts(pool: DataFrame, named: DataFrame, plan: DataFrame, cat: DataFrame) -> DataFrame:
+    """pool (with document_id) with fused_score doubled for named documents and raised by 1.35 for those related to the target."""
+    pool = pool.join(named.select("query_id", "document_id", F.lit(2.0).alias("hit")), ["query_id", "document_id"], "left")
+    kin = C.related(cat).select(F.col("document_id").alias("target_document"), F.col("related_id").alias("document_id"), F.lit(1.35).alias("kin"))
+    pool = pool.join(plan.select("query_id", "target_document"), "query_id").join(kin, ["target_document", "document_id"], "left")
+    return pool.withColumn("fused_score", F.col("fused_score") * F.coalesce("hit", F.lit(1.0)) * F.coalesce("kin", F.lit(1.0)))
+
+
+def final(rows: DataFrame) -> DataFrame:
+    """The FINAL best of each query: with coverage of documents where broad, else by score alone."""
+    cols = ["query_id", "rank", "chunk_id", "document_id", "dense_score", "lexical_score", "fused_score"]
+    broad = R.coverage(rows.where("broad").drop("broad"), FINAL).select(cols)
+    return broad.unionByName(R.top(rows.where("NOT broad").drop("broad"), FINAL, FINAL, "fused_score").select(cols))
+
+
 def rerank(results: DataFrame, chunks: DataFrame, model=None) -> DataFrame:
     """results with rerank_score: null, or of a model called with lists (questions, texts); the order stays.
 
@@ -105,20 +133,10 @@ def search(plan: DataFrame, cat: DataFrame, chunks: DataFrame, index: R.Index, q
 
     named = reused(Q.named_documents(plan, cat))
     where = chunks.select("chunk_id", "document_id")
-    marks = fused.join(where, "chunk_id").join(named.withColumn("hit", F.lit(True)), ["query_id", "document_id"], "left").join(plan.select("query_id", "target_document", "intent", "section"), "query_id")
     scan = scan_section(plan.where("intent <> 'comparison'"), named, chunks)
-    strict = F.col("target_document").isNotNull() & (F.col("intent") != "comparison")
-    whole = Window.partitionBy("query_id")
-    any_hit = F.max(F.coalesce("hit", F.lit(False))).over(whole)
-    marks = marks.join(scan.select("query_id", F.lit(True).alias("scanned")).distinct(), "query_id", "left")
-    # strict: the named document's candidates; if none, the scan's; if none, all
-    kept = marks.withColumn("any_hit", any_hit).where(~strict | (F.col("any_hit") & F.coalesce("hit", F.lit(False))) | (~F.col("any_hit") & F.col("scanned").isNull()))
-    pool = reused(upsert(kept, scan, "scan"))
+    pool = reused(upsert(named_filter(fused, where, named, plan, scan), scan, "scan"))
 
-    pool = pool.join(where, "chunk_id").join(named.withColumn("hit", F.lit(2.0)), ["query_id", "document_id"], "left")
-    kin = C.related(cat).select(F.col("document_id").alias("target_document"), F.col("related_id").alias("document_id"), F.lit(1.35).alias("kin"))
-    pool = pool.join(plan.select("query_id", "target_document"), "query_id").join(kin, ["target_document", "document_id"], "left")
-    pool = pool.withColumn("fused_score", F.col("fused_score") * F.coalesce("hit", F.lit(1.0)) * F.coalesce("kin", F.lit(1.0)))
+    pool = document_boosts(pool.join(where, "chunk_id"), named, plan, cat)
     pool = upsert(pool, recover_topic(plan, named, chunks, index), "topic")
 
     extra = [c for c in ("amendment_target_sections", "amendment_sections") if c in chunks.columns]
@@ -127,6 +145,4 @@ def search(plan: DataFrame, cat: DataFrame, chunks: DataFrame, index: R.Index, q
     boost = section_boost({c: F.col(c) for c in [*facts, "section"]}) * (1.0 + 0.55 * affinity(F.col("query_text"), F.col("title"), F.col("source_path")))
     full = full.withColumn("fused_score", F.when(F.col("section").isNotNull(), F.col("fused_score") * boost).otherwise(F.col("fused_score")))
     rows = full.select("query_id", "chunk_id", "document_id", "dense_score", "lexical_score", "fused_score", (F.col("section").isNull() | (F.col("intent") == "comparison")).alias("broad"))
-    cols = ["query_id", "rank", "chunk_id", "document_id", "dense_score", "lexical_score", "fused_score"]
-    broad = R.coverage(rows.where("broad").drop("broad"), FINAL).select(cols)
-    return broad.unionByName(R.top(rows.where("NOT broad").drop("broad"), FINAL, FINAL, "fused_score").select(cols))
+    return final(rows)

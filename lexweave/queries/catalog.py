@@ -108,7 +108,12 @@ def query_acronyms(spark: SparkSession, d: str) -> DataFrame:
     return fixtures.probes(spark).select("query_id", F.array_join(F.array_sort(C.query_acronyms(F.col("query_text"))), ",").alias("acronyms"))
 
 
-@query()
+#: Same spelling, or four letters and more, lengths within three, and a matching-blocks ratio of 0.78.
+NEAR = [("ember", "amber"), ("amber", "ember"), ("depto", "depot"), ("junipr", "juniper")]
+SAME = "amber birch canal cedar depot ember fjord harbor indigo juniper kestrel orchard port quarry trade valley yard".split()
+
+
+@query(f"SELECT q, t FROM {fixtures.values_sql([*NEAR, *((w, w) for w in SAME)], 'q, t')}")
 def fuzzy_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Words of the probes and title words near in spelling."""
     asked = fixtures.probes(spark).select(F.explode(C.distinctive(F.col("query_text"))).alias("q")).distinct()
@@ -129,7 +134,11 @@ def abbrev_match(spark: SparkSession, d: str) -> DataFrame:
     return C.abbreviation_matches(fixtures.probes(spark), act_catalog(spark, d))
 
 
-@query()
+#: (probe, title, stage): 1 a verbatim name, 2 an abbreviation, 3 enough words of the title, in whatever spelling.
+MATCHED = [(2, "Amber Harbor Trade Act", 1), (3, "Birch Valley Trade Act", 1), (4, "Fjord Orchard Trade Act", 1), (6, "Ember Canal Trade Act", 1), (7, "Indigo Port Trade Act", 3), (8, "Juniper Depot Trade Act", 1), (13, "Juniper Depot Trade Act", 3), (17, "Indigo Port Trade Act", 2), (18, "Kestrel Yard Trade Act", 3)]
+
+
+@query(f"WITH {fixtures.CTES} SELECT query_id::BIGINT AS query_id, document_id, title, stage::BIGINT AS stage FROM {fixtures.values_sql(MATCHED, 'query_id, title, stage')} JOIN acts USING (title)")
 def match_query(spark: SparkSession, d: str) -> DataFrame:
     """The document that each probe names, and the stage that found it."""
     return C.match(fixtures.probes(spark), act_catalog(spark, d)).withColumn("stage", F.col("stage").cast("bigint"))
@@ -153,7 +162,7 @@ def doc_name_match(spark: SparkSession, d: str) -> DataFrame:
     return named_documents(asked, cat).join(asked, "query_id").select(F.col("target_title").alias("title"), "document_id")
 
 
-@query(f"WITH {fixtures.CTES} SELECT document_id AS source_path, title, count(*) AS n_chunks FROM sections JOIN acts USING (source) GROUP BY ALL")
+@query(f"WITH {fixtures.CTES} SELECT document_id AS source_path, title, count(*) AS n_chunks, (SELECT count(*) FROM acts) AS total_documents, (SELECT count(*) FROM sections) AS total_chunks FROM sections JOIN acts USING (source) GROUP BY ALL")
 def list_documents(spark: SparkSession, d: str) -> DataFrame:
     return C.listing(act_chunks(spark, d))
 

@@ -168,18 +168,29 @@ def _folder() -> str:
     return root
 
 
-@query()
+#: The folder's files of allowed kinds: bytes, text as read (bytes that are not UTF-8 are dropped), metadata.
+FILES = [("Trade-Act-1997.TXT", 49), ("page.HTML", 10), ("empty.txt", 1), ("police-rules.md", 14)]
+READ = [("Trade-Act-1997.TXT", "1. Title\nThis Act  applies.\n\n2. Scope\nAll trade."), ("page.HTML", "<p>raw</p>"), ("empty.txt", " "), ("police-rules.md", "Rule 1\nOn duty")]
+DESCRIBED = [
+    ("Trade-Act-1997.TXT", "Trade Act", 1, "base_act", "trade", "Trade Act 1997|Trade Act|TA"),
+    ("page.HTML", "Page", 1, "unknown", "page", "Page"),
+    ("empty.txt", "Empty", 0, "unknown", "empty", "Empty"),
+    ("police-rules.md", "Police Rules", 1, "base_act", "police", "Police Rules"),
+]
+
+
+@query(f"SELECT file, length::BIGINT AS length FROM {fixtures.values_sql(FILES, 'file, length')}")
 def scan_discover(spark: SparkSession, d: str) -> DataFrame:
     """Files of allowed kinds in a small folder."""
     return files.discover(spark, [_folder()]).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
 
 
-@query()
+@query(f"SELECT file, md5(s) AS text_md5 FROM {fixtures.values_sql(READ, 'file, s')}")
 def text_load(spark: SparkSession, d: str) -> DataFrame:
     return files.read_texts(files.discover(spark, [_folder()])).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.md5(F.col("pages")[0]).alias("text_md5"))
 
 
-@query()
+@query(f"SELECT file_name, title, page_count::BIGINT AS page_count, document_type, document_group_id, aliases FROM {fixtures.values_sql(DESCRIBED, 'file_name, title, page_count, document_type, document_group_id, aliases')}")
 def sidecar_join(spark: SparkSession, d: str) -> DataFrame:
     """Documents of the folder with their sidecars' metadata."""
     root = _folder()

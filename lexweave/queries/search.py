@@ -43,17 +43,17 @@ _DOT = "round(list_reduce(list_transform(list_zip(a.embedding, b.embedding), lam
 
 @query(f"WITH {_INDEX} SELECT term, chunk_id, tf FROM post")
 def bm25_index(spark: SparkSession, d: str) -> DataFrame:
-    return R.build_index(_corpus(spark, d), run_ons=False).postings
+    return R.build_index(_corpus(spark, d)).postings
 
 
 @query(f"WITH {_INDEX} SELECT term, df, round(idf, 6) AS idf FROM trm")
 def term_stats(spark: SparkSession, d: str) -> DataFrame:
-    return R.build_index(_corpus(spark, d), run_ons=False).terms.withColumn("idf", F.round("idf", 6))
+    return R.build_index(_corpus(spark, d)).terms.withColumn("idf", F.round("idf", 6))
 
 
 def _lexical(spark: SparkSession, d: str) -> DataFrame:
-    index = R.build_index(_corpus(spark, d), run_ons=False)
-    return R.top(R.bm25(R.query_terms(_asked(spark, d), run_ons=False), index), 20, 20)
+    index = R.build_index(_corpus(spark, d))
+    return R.top(R.bm25(R.query_terms(_asked(spark, d)), index), 20, 20)
 
 
 @query(f"WITH {_INDEX}, {_LEX} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM lexr")
@@ -230,7 +230,7 @@ def named_words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> R.Index:
-    index = R.build_index(act_chunks(spark, d), run_ons=False)
+    index = R.build_index(act_chunks(spark, d))
     return R.Index(*map(reused, (index.postings, index.terms, index.sizes, index.corpus)))
 
 
@@ -249,5 +249,5 @@ def search(spark: SparkSession, d: str) -> DataFrame:
     plan = _plan(spark, d)
     vectors = R.embed_hashed(chunks, "text").select("chunk_id", "embedding")
     q = R.embed_hashed(plan.select("query_id", "search_text"), "search_text").select("query_id", "embedding")
-    out = K.search(plan, cat, chunks, _index(spark, d), q, vectors, run_ons=False)
+    out = K.search(plan, cat, chunks, _index(spark, d), q, vectors)
     return out.select("query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id", "document_id", F.round("fused_score", 6).alias("fused_score"))

@@ -14,7 +14,7 @@ from lexweave.queries import sqltext as S
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return fixtures.act_texts(spark, d).select("document_id", "title", fix_spacing(normalize_block(F.col("text")), False).alias("text"))
+    return fixtures.act_texts(spark, d).select("document_id", "title", fix_spacing(normalize_block(F.col("text"))).alias("text"))
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +85,7 @@ def section_bodies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _whole(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunk(fixtures.act_texts(spark, d), run_ons=False, split=False)
+    return chunking.chunk(fixtures.act_texts(spark, d), split=False)
 
 
 @query(f"WITH {_CHUNKS} SELECT chunk_id, chunk_index::BIGINT AS chunk_index, label, number, md5(text) AS text_md5 FROM chunks")
