@@ -92,14 +92,22 @@ def template(kind: Column, intent: Column) -> Column:
     return out.otherwise(TEMPLATES["explanation"])
 
 
-def prompts(queries: DataFrame, contexts: DataFrame, references: DataFrame) -> DataFrame:
-    """(query_id, prompt) for queries (query_id, query_text, intent[, prompt_type])."""
+#: The layout without templates.
+PLAIN = "Answer from the context alone; say so if it is not enough.\n\nQuestion:\n{question}\n\nContext:\n{context}\n\nAnswer:\n"
+
+
+def prompts(queries: DataFrame, contexts: DataFrame, references: DataFrame, system: str | None = None, plain: bool = False) -> DataFrame:
+    """(query_id, prompt) for queries (query_id, query_text, intent[, prompt_type]).
+
+    The template of the question's kind, after the system text and a blank line if there is one; with
+    plain, the question, the context and an open answer. A query without context gets an empty one.
+    """
     q = queries if "prompt_type" in queries.columns else queries.withColumn("prompt_type", F.lit(None).cast("string"))
     q = q.join(contexts.select("query_id", "context"), "query_id", "left").join(references.select("query_id", "summary"), "query_id", "left")
-    filled = template(F.col("prompt_type"), F.col("intent"))
+    filled = F.lit(PLAIN) if plain else template(F.col("prompt_type"), F.col("intent"))
     for slot, value in (("{question}", F.col("query_text")), ("{cross_references}", F.coalesce("summary", F.lit(""))), ("{context}", F.coalesce("context", F.lit("")))):
         filled = F.replace(filled, F.lit(slot), value)
-    return q.select("query_id", filled.alias("prompt"))
+    return q.select("query_id", (F.concat(F.lit(f"{system}\n\n"), filled) if system and not plain else filled).alias("prompt"))
 
 
 def answers(prompts: DataFrame, model=None) -> DataFrame:

@@ -35,10 +35,26 @@ def resolve_language(asked: Column, text: Column) -> Column:
     return F.when(a.isin("ur", "urdu"), "ur").when(a.isin("en", "english"), "en").otherwise(detect_language(text))
 
 
-def effort(kind: Column, text: Column) -> Column:
-    """How much reasoning to ask of a model, by intent and length of the question."""
-    n = F.length(text)
-    return F.when((kind == "simple_lookup") & (n <= 200), "minimal").when(kind.isin("explanation", "penalty") & (n <= 300), "low").otherwise("medium")
+#: How the names of models begin that reason, and of those that take the effort "minimal".
+REASONING, MINIMAL = ("gpt-5", "o1", "o3", "o4"), "gpt-5"
+
+
+def effort(kind: Column, text: Column, model: Column | None = None) -> Column:
+    """How much reasoning to ask of a model, by intent and length of the question; without a model, as for one that takes all efforts."""
+    n = F.length(strip(text))
+    least = F.lit("minimal") if model is None else F.when(F.lower(model).startswith(MINIMAL), "minimal").otherwise("low")
+    return F.when((kind == "simple_lookup") & (n <= 200), least).when(kind.isin("explanation", "penalty") & (n <= 300), "low").otherwise("medium")
+
+
+def request_params(model: Column, kind: Column, text: Column, answer_tokens: int = 4000) -> Column:
+    """struct(max_completion_tokens, reasoning_effort, temperature, max_tokens): the first two for models that reason, else the others."""
+    reasons = F.lower(model).rlike("^(?:" + "|".join(REASONING) + ")")
+    return F.struct(
+        F.when(reasons, answer_tokens + 4000).alias("max_completion_tokens"),
+        F.when(reasons, effort(kind, text, model)).alias("reasoning_effort"),
+        F.when(~reasons, 0.3).alias("temperature"),
+        F.when(~reasons, answer_tokens).alias("max_tokens"),
+    )
 
 
 def topic_tokens(q: Column, title: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -196,3 +197,25 @@ def sidecar_join(spark: SparkSession, d: str) -> DataFrame:
     root = _folder()
     pages = files.with_sidecars(files.read_texts(files.discover(spark, [root])), files.sidecars(spark, [root]))
     return files.assemble(pages).select("file_name", "title", F.col("page_count").cast("bigint").alias("page_count"), "document_type", "document_group_id", F.array_join("search_aliases", "|").alias("aliases"))
+
+
+@query("SELECT step, n::BIGINT AS n FROM (VALUES ('missing', 0), ('created', (SELECT count(*) FROM documents)), ('upserted', (SELECT count(*) FROM documents) + 1), ('changed', (SELECT count(*) FROM documents WHERE doc_id % 5 = 0)), ('reset', (SELECT count(*) FROM documents WHERE doc_id % 2 = 0))) v(step, n)")
+def store_changes(spark: SparkSession, d: str) -> DataFrame:
+    """A chunk store before it exists, as created by its first upsert, after another and after a reset: how many chunks it has."""
+    root = f"{tempfile.mkdtemp(prefix='lexweave-store-')}" if spark.sparkContext.master.startswith("local[") else f"{spark.conf.get('spark.checkpoint.dir')}/store-{uuid.uuid4().hex}"
+    store = files.ChunkStore(spark, root, "docs")
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", "text")
+    steps = [("missing", store.scan("chunk_id string").count())]
+    store.upsert(docs)
+    steps.append(("created", store.scan().count()))
+    store.upsert(docs.where("doc_id % 5 = 0").withColumn("text", F.lit("new")).union(spark.createDataFrame([("extra", -1, "x")], "chunk_id string, doc_id bigint, text string")))
+    steps += [("upserted", store.scan().count()), ("changed", store.scan().where("text = 'new'").count())]
+    store.reset(docs.where("doc_id % 2 = 0"))
+    steps.append(("reset", store.scan().count()))
+    return spark.createDataFrame(steps, "step string, n bigint")
+
+
+@query(f"WITH {_MSG} SELECT id, conversation_id, role, NULL::VARCHAR AS content, NULL::VARCHAR AS thinking, NULL::VARCHAR AS sections, NULL::INT AS rating, created_at FROM msg")
+def message_migrate(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of an older table, which lacks four columns, in the present schema."""
+    return L.migrated(_messages(spark, d).select("created_at", "id", "conversation_id", "role"))

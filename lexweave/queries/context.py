@@ -93,7 +93,7 @@ def intent(spark: SparkSession, d: str) -> DataFrame:
     return _talk(spark, d).select("conv_id", "turn", Q.intent(F.col("text")).alias("intent"))
 
 
-@query(f"SELECT conv_id, turn, CASE WHEN i = 'simple_lookup' AND length(text) <= 200 THEN 'minimal' WHEN i IN ('explanation', 'penalty') AND length(text) <= 300 THEN 'low' ELSE 'medium' END AS effort FROM (SELECT conv_id, turn, text, {S.intent('text')} AS i FROM {_TALK})")
+@query(f"SELECT conv_id, turn, CASE WHEN i = 'simple_lookup' AND length({S.strip('text')}) <= 200 THEN 'minimal' WHEN i IN ('explanation', 'penalty') AND length({S.strip('text')}) <= 300 THEN 'low' ELSE 'medium' END AS effort FROM (SELECT conv_id, turn, text, {S.intent('text')} AS i FROM {_TALK})")
 def effort(spark: SparkSession, d: str) -> DataFrame:
     return _talk(spark, d).select("conv_id", "turn", Q.effort(Q.intent(F.col("text")), F.col("text")).alias("effort"))
 
@@ -117,3 +117,45 @@ _UR = f"CASE WHEN len(regexp_extract_all(text, '\\p{{L}}')) > 0 AND len(regexp_e
 def lang_detect(spark: SparkSession, d: str) -> DataFrame:
     probes = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(LANGS)], "id bigint, text string")
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").union(probes).select("id", Q.detect_language(F.col("text")).alias("language"))
+
+
+MODELS = ["gpt-5-mini", "GPT-5", "o3-mini", "gpt-4o", "local"]
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, text, {S.intent('text')} AS i, m.model FROM {_TALK}, (SELECT unnest({MODELS}) AS model) m),
+    r AS (SELECT *, regexp_matches(lower(model), '^(gpt-5|o1|o3|o4)') AS reasons, CASE WHEN i = 'simple_lookup' AND length({S.strip('text')}) <= 200 THEN CASE WHEN starts_with(lower(model), 'gpt-5') THEN 'minimal' ELSE 'low' END WHEN i IN ('explanation', 'penalty') AND length({S.strip('text')}) <= 300 THEN 'low' ELSE 'medium' END AS effort FROM t)
+    SELECT conv_id, turn, model, CASE WHEN reasons THEN 8000 END AS max_completion_tokens, CASE WHEN reasons THEN effort END AS reasoning_effort, CASE WHEN NOT reasons THEN 0.3::DOUBLE END AS temperature, CASE WHEN NOT reasons THEN 4000 END AS max_tokens FROM r"""
+)
+def request_params(spark: SparkSession, d: str) -> DataFrame:
+    """What is asked of each kind of model for each question."""
+    rows = _talk(spark, d).withColumn("model", F.explode(F.array(*map(F.lit, MODELS))))
+    return rows.select("conv_id", "turn", "model", Q.request_params(F.col("model"), Q.intent(F.col("text")), F.col("text")).alias("p")).select("conv_id", "turn", "model", "p.*")
+
+
+_PROMPT = "CASE " + " ".join(f"WHEN {S.intent('query_text')} = '{k}' THEN {S.q(t)}" for k, t in X.TEMPLATES.items()) + " END"
+_CROSS = f"WITH {_RES}, {_SRC}, x AS (SELECT query_id, CASE WHEN count(*) > 1 THEN string_agg('- ' || title || ': ' || cited || ' (' || n || ' excerpt(s))', chr(10) ORDER BY title) ELSE 'Single source.' END AS summary FROM src GROUP BY query_id)"
+_SLOTS = "replace(replace(replace({t}, '{{question}}', query_text), '{{cross_references}}', coalesce(summary, '')), '{{context}}', coalesce(context, ''))"
+_CTX = "(SELECT doc_id AS query_id, text AS context FROM documents)"
+
+
+def _filled(t: str) -> str:
+    return _SLOTS.format(t=t)
+
+
+@query(f"{_CROSS} SELECT p.query_id::BIGINT AS query_id, md5('Be exact.' || chr(10) || chr(10) || {_filled(_PROMPT)}) AS prompt_md5, md5({_filled(S.q(X.PLAIN))}) AS plain_md5 FROM {QUERIES} p LEFT JOIN x USING (query_id) LEFT JOIN {_CTX} c USING (query_id)")
+def prompt_build(spark: SparkSession, d: str) -> DataFrame:
+    """The prompt of each probe in both layouts; its context is the text of the document of that number."""
+    q = fixtures.probes(spark).withColumn("intent", Q.intent(F.col("query_text")))
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("context"))
+    refs = X.cross_references(_results(spark, d))
+    whole, plain = X.prompts(q, texts, refs, "Be exact."), X.prompts(q, texts, refs, plain=True)
+    return whole.join(plain.withColumnRenamed("prompt", "plain"), "query_id").select("query_id", F.md5("prompt").alias("prompt_md5"), F.md5("plain").alias("plain_md5"))
+
+
+@query(f"SELECT query_id::BIGINT AS query_id, NULL::VARCHAR AS none, upper(query_text) AS answer FROM {QUERIES}")
+def answer_hook(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of no model, and of one that shouts the prompt."""
+    p = fixtures.probes(spark).select("query_id", F.col("query_text").alias("prompt"))
+    none = X.answers(p).select("query_id", F.col("answer").alias("none"))
+    return none.join(X.answers(p, str.upper).select("query_id", "answer"), "query_id")

@@ -148,17 +148,61 @@ def _plan(spark: SparkSession, d: str) -> DataFrame:
     return reused(Q.plan(fixtures.probes(spark), act_catalog(spark, d), reused(act_chunks(spark, d))))
 
 
-@query()
+#: (probe, intent, section as asked, title of the target, candidates per channel, fused candidates). All probes are English, and all sections that have a chunk are stored as asked.
+PLANNED = [
+    (1, "simple_lookup", "9", None, 36, 15),
+    (2, "simple_lookup", "14", "Amber Harbor Trade Act", 48, 36),
+    (3, "comparison", None, "Birch Valley Trade Act", 20, 15),
+    (4, "penalty", None, "Fjord Orchard Trade Act", 20, 15),
+    (5, "simple_lookup", "22A", None, 36, 15),
+    (6, "explanation", "33A", "Ember Canal Trade Act", 48, 36),
+    (7, "procedural", None, "Indigo Port Trade Act", 20, 15),
+    (8, "simple_lookup", None, "Juniper Depot Trade Act", 20, 15),
+    (9, "simple_lookup", "999", None, 36, 15),
+    (10, "simple_lookup", None, None, 20, 15),
+    (11, "simple_lookup", None, None, 20, 15),
+    (12, "cross_reference", None, None, 20, 15),
+    (13, "simple_lookup", None, "Juniper Depot Trade Act", 20, 15),
+    (14, "simple_lookup", "8", None, 36, 15),
+    (15, "simple_lookup", "12", None, 36, 15),
+    (16, "simple_lookup", "7.3", None, 36, 15),
+    (17, "simple_lookup", None, "Indigo Port Trade Act", 20, 15),
+    (18, "simple_lookup", None, "Kestrel Yard Trade Act", 20, 15),
+]
+_PLANNED = f"pl AS (SELECT v.query_id::BIGINT AS query_id, query_text, intent, asked, title, document_id AS target_document, kc, kf FROM {fixtures.values_sql(PLANNED, 'query_id, intent, asked, title, kc, kf')} v JOIN {QUERIES} USING (query_id) LEFT JOIN acts USING (title))"
+#: Acts whose names hold two thirds of the words of a target's title, as an amendment's does.
+_TITLE = "list_filter(regexp_extract_all(lower(pl.title), '[a-z0-9]+'), lambda w: length(w) > 2)"
+_NAMED = f"nm AS (SELECT query_id, a.document_id FROM pl JOIN acts a ON len(list_filter({_TITLE}, lambda w: contains({S.doc_blob("a.title || ' ' || a.document_id")}, w))) >= greatest(2, (2 * len({_TITLE}) + 2) // 3) WHERE pl.title IS NOT NULL)"
+
+
+@query(f"WITH {fixtures.CTES}, {_PLANNED} SELECT query_id, intent, 'en' AS language, asked AS asked_section, asked AS section, target_document, kc::BIGINT AS k_channel, kf::BIGINT AS k_fused, md5(query_text || coalesce(chr(10) || 'section ' || asked || chr(10) || 'article ' || asked || chr(10) || asked || '.', '')) AS search_md5 FROM pl")
 def query_plan(spark: SparkSession, d: str) -> DataFrame:
     """What each probe asks for."""
     cols = ["query_id", "intent", "language", "asked_section", "section", "target_document", F.col("k_channel").cast("bigint").alias("k_channel"), F.col("k_fused").cast("bigint").alias("k_fused"), F.md5("search_text").alias("search_md5")]
     return _plan(spark, d).select(*cols)
 
 
-@query()
+#: Questions by clause or spelling, the section asked for, and its spellings from the most specific to the broadest.
+CLAUSES = [
+    (1, "section 9(c)", "9(c)", "9(c) 9C 9"),
+    (2, "section 22-a", "22A", "22A 22(a) 22"),
+    (3, "section 14(1)(a)", "14(1)(a)", "14(1)(a) 14(1) 14"),
+    (4, "section 9C", "9C", "9C 9(c) 9"),
+    (5, "section 12(2)", "12(2)", "12(2) 12"),
+    (6, "section 10(7)(b)", "10(7)(b)", "10(7)(b) 10(7) 10"),
+    (7, "section 8888", "8888", "8888"),
+]
+
+
+@query(
+    f"""WITH {fixtures.CTES}, v AS (SELECT query_id, asked, unnest(string_split(spelled, ' ')) AS v, generate_subscripts(string_split(spelled, ' '), 1) AS k FROM {fixtures.values_sql(CLAUSES, 'query_id, query_text, asked, spelled')}),
+    st AS (SELECT DISTINCT {S.normalize_number('num')} AS v FROM sections)
+    SELECT query_id::BIGINT AS query_id, asked AS asked_section, coalesce(arg_min(st.v, k) FILTER (st.v IS NOT NULL), asked) AS section FROM v LEFT JOIN st USING (v) GROUP BY query_id, asked"""
+)
 def section_resolve(spark: SparkSession, d: str) -> DataFrame:
-    """Probes with a section: as asked and as stored."""
-    return _plan(spark, d).where("asked_section IS NOT NULL").select("query_id", "asked_section", "section")
+    """Sections as asked and as stored: the first of a clause's spellings that a chunk has, else as asked."""
+    q = spark.createDataFrame([(i, t) for i, t, *_ in CLAUSES], "query_id bigint, query_text string")
+    return Q.plan(q, act_catalog(spark, d), reused(act_chunks(spark, d))).select("query_id", "asked_section", "section")
 
 
 WANTED = [(1, "9", "what is section 9 of the amber harbor act"), (2, "22-A", "22-A trade"), (3, "7.3", "rule 7.3 ember canal"), (4, "12", "section 12"), (5, "999", "section 999 birch valley trade act")]
@@ -234,7 +278,19 @@ def _index(spark: SparkSession, d: str) -> R.Index:
     return R.Index(*map(reused, (index.postings, index.terms, index.sizes, index.corpus)))
 
 
-@query()
+#: The words that tell the topic, of the probes on an act that have any.
+TOPICS = [(4, "punishment"), (7, "how"), (7, "file"), (7, "appeal"), (8, "ention"), (13, "junipr"), (13, "depto"), (17, "ipt"), (17, "brief")]
+
+
+@query(
+    f"""WITH {fixtures.CTES}, {_PLANNED}, {_NAMED}, {_INDEX.replace("SELECT doc_id AS chunk_id,", "SELECT document_id || '::' || lpad((n - 1)::VARCHAR, 5, '0') AS chunk_id,").replace("FROM documents", "FROM sections JOIN acts USING (source)").replace(S.tokens("text"), S.tokens("section_text"))},
+    h AS (SELECT document_id || '::' || lpad((n - 1)::VARCHAR, 5, '0') AS chunk_id, document_id, lower(num || ' Provision ' || doc_id) AS head FROM sections JOIN acts USING (source)),
+    tp AS (SELECT query_id::BIGINT AS query_id, term FROM {fixtures.values_sql(TOPICS, 'query_id, term')}),
+    sc AS (SELECT query_id, chunk_id, round(sum(idf * tf * ({R.K1}::DOUBLE + 1) / (tf + {R.K1}::DOUBLE * (1 - {R.B}::DOUBLE + {R.B}::DOUBLE * (dl / avgdl)))), {R.PLACES}) AS score FROM tp JOIN trm USING (term) JOIN post USING (term) JOIN siz USING (chunk_id), corp GROUP BY ALL),
+    bo AS (SELECT sc.query_id, chunk_id, score * CASE WHEN EXISTS (SELECT 1 FROM tp WHERE tp.query_id = sc.query_id AND contains(h.head, tp.term)) THEN 2 ELSE 1 END AS score FROM sc JOIN h USING (chunk_id) JOIN nm ON nm.query_id = sc.query_id AND nm.document_id = h.document_id WHERE score > 0),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS k, max(score) OVER (PARTITION BY query_id) AS top FROM bo)
+    SELECT query_id, chunk_id, round(20.0::DOUBLE + 30.0::DOUBLE * score / top, 6) AS topic FROM rk WHERE k <= {K.SCAN}"""
+)
 def topic_recover(spark: SparkSession, d: str) -> DataFrame:
     """Chunks found by topic for the probes that name an act and no section."""
     plan = _plan(spark, d)
@@ -242,6 +298,70 @@ def topic_recover(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("topic", F.round("topic", 6))
 
 
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Every fourth section as a candidate of every probe, with scores from its number."""
+    rows = act_chunks(spark, d).where("chunk_index % 4 = 0").crossJoin(F.broadcast(fixtures.probes(spark).select("query_id")))  # some twenty probes
+    score = F.round(1.0 / (1 + (F.col("chunk_index") * 7 + F.col("query_id") * 3) % 11), 6)
+    return rows.where("(chunk_index / 4 + query_id) % 3 = 0 AND (query_id % 5 <> 3 OR document_id NOT LIKE '%juniper%')").select("query_id", "chunk_id", "document_id", F.lit(0.0).alias("dense_score"), F.lit(0.0).alias("lexical_score"), score.alias("fused_score"))
+
+
+_CAND = f"""{fixtures.CTES}, {_PLANNED}, {_NAMED}, cand AS (SELECT query_id, document_id || '::' || lpad((n - 1)::VARCHAR, 5, '0') AS chunk_id, document_id, round(1.0::DOUBLE / (1 + ((n - 1) * 7 + query_id * 3) % 11), 6) AS fused_score, num, section_text
+    FROM sections JOIN acts USING (source), pl WHERE (n - 1) % 4 = 0 AND ((n - 1) // 4 + query_id) % 3 = 0 AND (query_id % 5 <> 3 OR document_id NOT LIKE '%juniper%'))"""
+_SCANNED = f"""scan AS (SELECT query_id, document_id || '::' || lpad((n - 1)::VARCHAR, 5, '0') AS chunk_id, CASE WHEN {S.normalize_number('num')} = asked THEN 5000.0::DOUBLE ELSE 500.0::DOUBLE END AS scan FROM sections JOIN acts USING (source) JOIN nm USING (document_id) JOIN pl USING (query_id)
+        WHERE asked IS NOT NULL AND intent <> 'comparison' AND ({S.normalize_number('num')} = asked OR regexp_matches(section_text, {S.mention('asked')})) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY scan DESC, chunk_id) <= {K.SCAN})"""
+_KEPT = """kept AS (SELECT c.* FROM (SELECT cand.*, target_document, intent, nm.query_id IS NOT NULL AS hit, bool_or(nm.query_id IS NOT NULL) OVER (PARTITION BY cand.query_id) AS any_hit FROM cand JOIN pl USING (query_id) LEFT JOIN nm ON nm.query_id = cand.query_id AND nm.document_id = cand.document_id) c
+        WHERE target_document IS NULL OR intent = 'comparison' OR (any_hit AND hit) OR (NOT any_hit AND query_id NOT IN (SELECT query_id FROM scan)))"""
+
+
+def _steps(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    chunks, cat, plan = act_chunks(spark, d), act_catalog(spark, d), _plan(spark, d)
+    named = Q.named_documents(plan, cat)
+    return plan, cat, named, _candidates(spark, d), K.scan_section(plan.where("intent <> 'comparison'"), named, chunks), chunks.select("chunk_id", "document_id")
+
+
+@query(f"WITH {_CAND}, {_SCANNED}, {_KEPT} SELECT query_id, chunk_id, fused_score FROM kept")
+def named_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates that the named document of each probe leaves; probes 13 and 18 have none of one act."""
+    plan, _, named, cand, scan, where = _steps(spark, d)
+    return K.named_filter(cand.drop("document_id"), where, named, plan, scan).select("query_id", "chunk_id", "fused_score")
+
+
+@query(f"WITH {_CAND}, {_SCANNED}, {_KEPT}, u AS (SELECT query_id, chunk_id, fused_score FROM kept UNION ALL SELECT query_id, chunk_id, scan FROM scan) SELECT query_id, chunk_id, max(fused_score) AS fused_score FROM u GROUP BY ALL")
+def candidate_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The candidates left, raised to and joined by what the scan of the named document found."""
+    plan, _, named, cand, scan, where = _steps(spark, d)
+    return K.upsert(K.named_filter(cand.drop("document_id"), where, named, plan, scan), scan, "scan").select("query_id", "chunk_id", "fused_score")
+
+
+@query(f"""WITH {_CAND}, {CATALOG.removeprefix(fixtures.CTES).lstrip().lstrip(',')}, kin AS (SELECT DISTINCT a.document_id AS target, b.document_id FROM cat a JOIN cat b ON a.document_id <> b.document_id AND (a.document_group_id = b.document_group_id OR a.amends_group_id = b.document_group_id OR b.amends_group_id = a.document_group_id))
+    SELECT cand.query_id, chunk_id, round(fused_score * CASE WHEN nm.query_id IS NOT NULL THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN kin.target IS NULL THEN 1.0::DOUBLE ELSE 1.35::DOUBLE END, 6) AS fused_score
+    FROM cand JOIN pl USING (query_id) LEFT JOIN nm ON nm.query_id = cand.query_id AND nm.document_id = cand.document_id LEFT JOIN kin ON kin.target = target_document AND kin.document_id = cand.document_id""")
+def document_boosts(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates raised where they are of the target document or related to it."""
+    plan, cat, named, cand, _, _ = _steps(spark, d)
+    return K.document_boosts(cand, named, plan, cat).select("query_id", "chunk_id", F.round("fused_score", 6).alias("fused_score"))
+
+
+@query(
+    f"""WITH {_CAND}, b AS (SELECT cand.query_id, chunk_id, document_id, fused_score, asked IS NULL OR intent = 'comparison' AS broad FROM cand JOIN pl USING (query_id)),
+    own AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY fused_score DESC, chunk_id) AS nth, max(fused_score) OVER (PARTITION BY query_id) AS best FROM b),
+    pick AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (broad AND nth = 1 AND fused_score >= 0.45::DOUBLE * best)::INT DESC, fused_score DESC, chunk_id) AS r FROM own)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, chunk_id) AS rank, chunk_id, fused_score FROM pick WHERE r <= {K.FINAL}"""
+)
+def final_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The best ten candidates of each probe, by documents where it asks for no section."""
+    plan, _, _, cand, _, _ = _steps(spark, d)
+    rows = cand.join(plan.select("query_id", (F.col("section").isNull() | (F.col("intent") == "comparison")).alias("broad")), "query_id")
+    return K.final(rows).select("query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id", "fused_score")
+
+
+@query(f"WITH {_CAND} SELECT query_id, chunk_id, (length(query_text) * 1000 + length(section_text))::DOUBLE AS rerank_score FROM cand JOIN pl USING (query_id)")
+def rerank_hook(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates with the score of a model that sees question and text: here one of their lengths."""
+    results = _candidates(spark, d).join(fixtures.probes(spark), "query_id").select("query_id", "chunk_id", "query_text")
+    return K.rerank(results, act_chunks(spark, d), lambda q, t: [len(a) * 1000.0 + len(b) for a, b in zip(q, t, strict=True)]).select("query_id", "chunk_id", "rerank_score")
+
+
 @query()
 def search(spark: SparkSession, d: str) -> DataFrame:
     """The whole search for every probe over the statutes, with hashed vectors."""

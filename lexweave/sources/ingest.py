@@ -40,16 +40,20 @@ def run(spark: SparkSession, roots: list[str], store: S.ChunkStore, allowed: lis
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description="Index files into a chunk store.")
-    p.add_argument("--data-dir", action="append", required=True)
-    p.add_argument("--fallback-dir", action="append")
-    p.add_argument("--store", required=True)
-    p.add_argument("--model", default="hashed-64")
-    p.add_argument("--extensions")
-    p.add_argument("--force", action="store_true")
+    p.add_argument("--data-dir", action="append", help="folder of source files; may repeat (default: data)")
+    p.add_argument("--fallback-dir", action="append", help="read if the data folders hold no file (default: .)")
+    p.add_argument("--store", default="store", help="folder of the chunk store")
+    p.add_argument("--model", default="hashed-64", help="names the collection")
+    p.add_argument("--embed-batch-size", type=int, default=16, help="texts that a model embeds together")
+    p.add_argument("--extensions", default="", help="comma-separated; default: all that can be read")
+    p.add_argument("--force-reindex", "--force", dest="force", action="store_true", help="all files, not only those without a chunk")
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(max(1, a.embed_batch_size) * 64))
     store = S.ChunkStore(spark, a.store, S.collection_name(a.model))
-    run(spark, a.data_dir, store, S.extensions(a.extensions) if a.extensions else S.EXTENSIONS, a.fallback_dir, a.force).show()
+    allowed = S.extensions(a.extensions) if a.extensions.strip() else S.EXTENSIONS
+    out = run(spark, a.data_dir or ["data"], store, allowed, a.fallback_dir or ["."], a.force).first()
+    print(f"{'Force re-indexed' if a.force else 'Indexed'} {out['document_count']} documents into {out['chunk_count']} chunks.")
 
 
 if __name__ == "__main__":
