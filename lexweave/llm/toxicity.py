@@ -137,7 +137,7 @@ def feature_rows(docs: DataFrame, text: str) -> DataFrame:
     return docs.select("y", "held", docs[text].alias("t")).mapInArrow(run, "y int, held boolean, f array<int>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, positives: int = 3000, unlabelled: int = 6000, longest: int = 50_000, least: int = 10, lift: float = 3.0, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, positives: int = 6000, unlabelled: int = 12000, longest: int = 50_000, least: int = 10, lift: float = 3.0, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model:
     """A model from a bounded sample of docs and labels (doc_id, toxic).
 
     positives, unlabelled: about so many texts of each kind, those with the smallest id hashes; longest:
@@ -157,7 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, positives: int = 3
     total = sized.count()
     edge = lambda share: min(2**63 - 1, int(share * 2**64) - 2**63)
     own = known.where((F.col("_y") == 1) & (F.xxhash64("_id") <= edge(positives / pos))).select("_id")
-    p = sized.join(own, sized[doc_id] == own["_id"], "left_semi").withColumn("y", F.lit(1))
+    # about as many ids as positives asks for, so no text is shuffled
+    p = sized.join(F.broadcast(own), sized[doc_id] == own["_id"], "left_semi").withColumn("y", F.lit(1))
     u = sized.where(F.col("_h") <= edge(unlabelled / max(1, total))).withColumn("y", F.lit(0))
     rows = scratch.store(feature_rows(p.select("y", "held", text).union(u.select("y", "held", text)), text), "toxicity-features")
     n_p, n_u = rows.where("NOT held").agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
