@@ -9,8 +9,8 @@ within two bits meet in the cell half way. Only fingerprints that share a cell g
 They are verified exactly. In a cell of two, the two are compared. Fuller cells are
 verified without listing pairs: two fingerprints differ in two or fewer bits if and only if some 64-bit value is within one bit of both. So each
 candidate names the 65 values within one bit of itself, and all that name a value are
-linked to the least of them. A group of n near copies costs 65 n rows, not n squared,
-and every link between different fingerprints lies in the components that follow.
+linked to the least of them: no value is named by more than 65. A group of n near copies
+costs 65 n rows, not n squared, and every link between different fingerprints lies in the components that follow.
 """
 
 from __future__ import annotations
@@ -72,7 +72,9 @@ def embedding(fp: str) -> str:
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) whose components are those of all links within two bits."""
-    own = fps.select("fp").distinct().withColumn("e", F.expr(embedding("fp")))
+    # a row makes tens of them below: dealt before that, and not put together again
+    dealt = lambda df: df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    own = dealt(fps.select("fp").distinct()).withColumn("e", F.expr(embedding("fp")))
     near = ["e"]
     for s in range(0, 64, 4):
         count, unit = f"(shiftrightunsigned(e, {s}) & 15)", f"shiftleft(1L, {s})"
@@ -82,9 +84,9 @@ def links(fps: DataFrame) -> DataFrame:
     pairs = cells.where(f"n = 2 AND bit_count(a ^ b) <= {BITS}").select("a", "b")
     candidates = entries.join(cells.where("n > 2").select("cell"), "cell").select("fp").distinct()
     flips = ", ".join(["fp", *(f"fp ^ shiftleft(1L, {k})" for k in range(64))])
-    named = candidates.select("fp", F.explode(F.expr(f"array({flips})")).alias("value"))
-    least = named.groupBy("value").agg(F.min("fp").alias("b"), F.max("fp").alias("hi")).where("b <> hi").select("value", "b")
-    return named.join(least, "value").where("fp <> b").select(F.col("fp").alias("a"), "b").union(pairs).distinct()
+    named = dealt(candidates).select("fp", F.explode(F.expr(f"array({flips})")).alias("value"))
+    met = named.groupBy("value").agg(F.min("fp").alias("b"), F.collect_list("fp").alias("fps")).where("size(fps) > 1")  # 65 at most
+    return met.select(F.explode("fps").alias("a"), "b").where("a <> b").union(pairs).distinct()
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 3, doc_id: str = "doc_id", text: str = "text", label: str = "simhash") -> DataFrame:
