@@ -115,8 +115,8 @@ def grouped(own: DataFrame, edges: DataFrame, scratch: Scratch, label: str) -> D
 BANDS = 16
 #: Documents of the sample that orders shingles, and how many shingles it names; by how much the compared texts of a bucket grow a round.
 SAMPLE, COMMON, GROWTH = 20_000, 100_000, 16
-#: Bits that bound the difference of two sets of shingles.
-ODD = 1024
+#: Bits that bound the difference of two sets of shingles; smallest keys of a text by which a pair is made once.
+ODD, LEAST = 1024, 32
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
@@ -221,8 +221,8 @@ def similar_links(docs: DataFrame, own: DataFrame, edges: DataFrame, scratch: Sc
     compare GROWTH times as many of their texts with all texts of other components, until a bucket is
     one component or all its texts were compared. A group of copies of one text costs about a pair for
     each copy; only pairs that others join already are left out. Later rounds make no pair whose odd
-    bits differ in more hashes than the similarity allows, so texts that share passages but are not
-    similar meet without leaving rows. Pairs that the prefixes do not rule out are verified on the
+    bits differ in more hashes than the similarity allows, and each pair about once, however many buckets
+    it shares, so texts that share passages but are not similar meet without leaving rows. Pairs that the prefixes do not rule out are verified on the
     whole sets; texts are read again for these only.
     """
     known = own.where("m > 0")
@@ -232,8 +232,9 @@ def similar_links(docs: DataFrame, own: DataFrame, edges: DataFrame, scratch: Sc
     named = one.select("sid", F.explode("prefix").alias("key"))
     buckets = named.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     entries = scratch.store(named.join(buckets, "key"), "prefix-entries")
-    nodes = one.select("sid", "fp", "m").join(entries.groupBy("sid").agg(F.sum("n").alias("w")), "sid")
-    members = scratch.store(entries.join(nodes, "sid"), "prefix-members")
+    held = entries.groupBy("sid").agg(F.sum("n").alias("w"), F.slice(F.array_sort(F.collect_list("key")), 1, LEAST).alias("low"))
+    nodes = scratch.store(one.select("sid", "fp", "m", "odd").join(held, "sid"), "prefix-nodes")
+    members = scratch.store(entries.join(nodes.select("sid", "fp", "m", "w"), "sid"), "prefix-members")
     scratch.drop(entries)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,9 +265,11 @@ def similar_links(docs: DataFrame, own: DataFrame, edges: DataFrame, scratch: Sc
         right = pivots.select("key", F.col("sid").alias("sid2"), F.col("fp").alias("fp2"), F.col("m").alias("m2"), F.col(by).alias("by2"))
         may = (F.col(by) != F.col("by2")) & (F.least("m", "m2") >= similarity * F.greatest("m", "m2") - 1e-6)
         if "odd" in left.columns:
-            right = right.join(one.select(F.col("sid").alias("sid2"), F.col("odd").alias("odd2")), "sid2")
+            right = right.join(nodes.select(F.col("sid").alias("sid2"), F.col("odd").alias("odd2"), F.col("low").alias("low2")), "sid2")
             differ = F.expr(" + ".join(f"bit_count(odd[{k}] ^ odd2[{k}])" for k in range(ODD // 64)))
             may &= differ <= (1 - similarity) / (1 + similarity) * (F.col("m") + F.col("m2")) + 1e-6
+            # not where the two are known to meet under a smaller key: they always meet under the smallest
+            may &= F.coalesce(F.array_min(F.array_intersect("low", "low2")) >= F.col("key"), F.lit(True))
         met = left.join(right, "key").where(may)
         turned = F.col("sid") < F.col("sid2")
         pick = lambda p, q, name: F.when(turned, F.col(p)).otherwise(F.col(q)).alias(name)
@@ -289,7 +292,7 @@ def similar_links(docs: DataFrame, own: DataFrame, edges: DataFrame, scratch: Sc
         if live.isEmpty():
             break
         pivots = live.where(F.pmod(F.xxhash64("sid"), F.lit(1 << 30)) / float(1 << 30) * F.col("n") < tries) if tries < most else live
-        fresh = pairs_of(live.join(one.select("sid", "odd"), "sid"), pivots, "component").join(tested.select("x", "y"), ["x", "y"], "left_anti")
+        fresh = pairs_of(live.join(nodes.select("sid", "odd", "low"), "sid"), pivots, "component").join(tested.select("x", "y"), ["x", "y"], "left_anti")
         fresh = scratch.store(fresh, f"prefix-pairs-{k}")
         tested = tested.union(fresh)
         edges = scratch.store(edges.union(verified(fresh, f"prefix-found-{k}")).distinct(), f"prefix-links-{k}")
