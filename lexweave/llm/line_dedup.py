@@ -9,7 +9,9 @@ the suffix array: a line run of that length that repeats, its first position in
 has one member, so later rounds hold only what repeats over longer runs.
 
 A run of ``min_lines`` lines or more, or one line of ``min_words`` words or more, is
-deleted wherever it is a later copy. DataFrame functions only.
+deleted wherever it is a later copy. A length between two powers of two is read from two
+overlapping runs: the next n lines are the same if and only if the 2^k lines at their start
+and the 2^k lines at their end are. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lexweave.llm.shared import Scratch
 
-MIN_WORDS = 20
+MIN_LINES, MIN_WORDS = 2, 20
 
 
 def line_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -60,34 +62,51 @@ def _following(rows: DataFrame, step: int) -> DataFrame:
     return rows.withColumn("next", F.first("rank").over(w)).where("next IS NOT NULL").drop("later")
 
 
-def deleted_lines(rounds: list[DataFrame], min_words: int = MIN_WORDS) -> DataFrame | None:
-    """(doc, key, lines, depth): for each document with later copies, the non-blank lines to delete, and the deepest round that found one, in lines.
+def later_runs(rounds: list[DataFrame], length: int) -> DataFrame | None:
+    """(doc, key, o): positions whose next length lines are a later copy; none if no such run repeats."""
+    k = length.bit_length() - 1
+    if k >= len(rounds):
+        return None
+    if length == 1 << k:
+        return rounds[k].where("later").select("doc", "key", "o")
+    position = F.struct("doc", "key", "o")
+    pairs = _following(rounds[k], length - (1 << k))
+    first = pairs.groupBy("rank", "next").agg(F.min(position).alias("first"), F.max(position).alias("last")).where("first <> last").select("rank", "next", "first")
+    return pairs.join(first, ["rank", "next"]).where(position != F.col("first")).select("doc", "key", "o")
+
+
+def deleted_lines(rounds: list[DataFrame], min_words: int = MIN_WORDS, min_lines: int = MIN_LINES) -> DataFrame | None:
+    """(doc, key, lines, depth): for each document with later copies, the non-blank lines to delete, and the longest power of two of lines in one of them.
 
-    A later copy of 2^k lines is covered by those of two lines, so the first two rounds give the lines.
-    Copies that overlap in one document leave what precedes the first later one: of a line repeated
-    over and over, one stays.
+    A later copy of more than min_lines lines is covered by those of min_lines. Copies that overlap in
+    one document leave what precedes the first later one: of a line repeated over and over, one stays.
     """
+    if min_lines < 1:
+        raise ValueError("a run has at least one line")
     if not rounds:
         return None
     hits = rounds[0].where(F.col("later") & (F.col("words") >= min_words)).select("doc", "key", "o", F.lit(1).alias("run"))
-    for k, r in enumerate(rounds[1:], 1):
-        wide = r.where("later")
-        both = F.explode(F.array("o", F.col("o") + 1)) if k == 1 else F.col("o")
-        hits = hits.union(wide.select("doc", "key", both.alias("o"), F.lit(1 << k).alias("run")))
+    runs = later_runs(rounds, min_lines)
+    if runs is not None:
+        whole = F.explode(F.array(*(F.col("o") + i for i in range(min_lines))))
+        hits = hits.union(runs.select("doc", "key", whole.alias("o"), F.lit(1 << min_lines.bit_length() - 1).alias("run")))
+    for k in range((min_lines - 1).bit_length(), len(rounds)):
+        if 1 << k > min_lines:
+            hits = hits.union(rounds[k].where("later").select("doc", "key", "o", F.lit(1 << k).alias("run")))
     return hits.groupBy("doc", "key").agg(F.collect_set("o").alias("lines"), F.max("run").cast("bigint").alias("depth"))
 
 
-def dedup(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
     """docs with text cleaned, and n_lines (non-blank), n_deleted and depth: the longest power of two of lines in a deleted copy, 0 if none.
 
-    Blank lines are not part of runs and stay, unless no other line does: then the text is empty. A
+    Blank lines (empty, or of spaces alone) are not part of runs and stay, unless no other line does: then the text is empty. A
     null text stays null with zero counts. Rows that repeat both doc_id and text are one document and
     get the same result; a null doc_id sorts first. Input columns of the added names are replaced.
     """
     cols = [c for c in docs.columns if c not in ("n_lines", "n_deleted", "depth")]
     blank = lambda x: F.trim(x) == ""
     base = docs.select(*cols, F.xxhash64(text).alias("_key"), F.split(F.col(text), "\n", -1).alias("_lines")).withColumn("_n", F.size(F.filter("_lines", lambda x: ~blank(x))))
-    found = deleted_lines(repeated(docs, scratch, doc_id, text), min_words)
+    found = deleted_lines(repeated(docs, scratch, doc_id, text), min_words, min_lines)
     if found is None:
         return base.select(*cols, F.when(F.col(text).isNull(), 0).otherwise(F.col("_n")).cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("n_deleted"), F.lit(0).cast("bigint").alias("depth"))
     out = base.join(found.select(F.col("doc").alias("_doc"), F.col("key").alias("_k"), "lines", "depth"), F.col(doc_id).eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_k")), "left")

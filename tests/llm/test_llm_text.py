@@ -187,6 +187,31 @@ def test_line_dedup(spark):
     assert empty.count() == 0
 
 
+@pytest.mark.parametrize("least", [1, 2, 3, 4, 5, 7])
+def test_line_dedup_min_lines(spark, least):
+    """Against brute force: delete each window of least lines, or one line of 20 words, that starts later than the same lines elsewhere."""
+    rng = np.random.default_rng(least)
+    pool = ["a", "b b", "c\tc", "\t", LONG]
+    texts = ["\n".join(pool[j] for j in rng.choice(5, rng.integers(1, 14), p=[0.4, 0.3, 0.15, 0.1, 0.05])) for _ in range(40)]
+    texts += [texts[3] + "\n" + texts[5], texts[3]]
+    lines = [t.split("\n") for t in texts]
+
+    def windows(size, fits):
+        seen, out = set(), set()
+        for d, rows in enumerate(lines):
+            for o in range(len(rows) - size + 1):
+                run = tuple(rows[o : o + size])
+                if run in seen and fits(run):
+                    out |= {(d, o + i) for i in range(size)}
+                seen.add(run)
+        return out
+
+    gone = windows(least, lambda run: True) | windows(1, lambda run: len(run[0].split()) >= line_dedup.MIN_WORDS)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs, Scratch(spark), min_lines=least).collect()}
+    assert got == {d: "\n".join(x for o, x in enumerate(rows) if (d, o) not in gone) for d, rows in enumerate(lines)}
+
+
 def test_line_dedup_equals_sql(spark, data, same):
     same(queries.op2_line_dedup(spark, data), queries.oracle_sql()["op2_line_dedup"])
 
