@@ -77,12 +77,14 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense(query_vectors: DataFrame, vectors: DataFrame, blocks: int = 32) -> DataFrame:
+def dense(query_vectors: DataFrame, vectors: DataFrame, block_rows: int = 65_536) -> DataFrame:
     """(query_id, chunk_id, score): the dot product of every query vector with every vector of an index.
 
-    Vectors are dealt to blocks by hash and the queries go to every block: an equi-join that holds
-    for any number of queries and vectors.
+    Vectors are dealt by hash to blocks of about block_rows, at least one for each shuffle partition,
+    and the queries go to every block: an equi-join of as many tasks as the index asks for.
     """
+    spark = vectors.sparkSession
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vectors.count() // block_rows))
     q = query_vectors.select("query_id", F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     v = vectors.select("chunk_id", F.col("embedding").alias("v"), F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int").alias("block"))
     return q.join(v, "block").select("query_id", "chunk_id", F.round(dot("q", "v"), PLACES).alias("score"))

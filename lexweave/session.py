@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,19 +43,24 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; a local session without one gets a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="lexweave-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
 def reused(df: DataFrame) -> DataFrame:
-    """df, written once to the checkpoint folder, for plans that read it many times.
+    """df, written once as Parquet to the shared folder, for plans that read it many times.
 
-    The copy is a leaf: neither its rows nor its logical plan are worked out again for each use. The
-    folder is the cluster's spark.checkpoint.dir; a local session without one gets a temporary folder.
+    The copy is a leaf: neither its rows nor its logical plan are worked out again for each use, each
+    use reads only its columns, and its size tells Spark which joins to broadcast. It stays until the
+    folder is cleaned up, as checkpoints do.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not sc.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            base = tempfile.mkdtemp(prefix="lexweave-")
-        sc.setCheckpointDir(base)
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/lexweave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
