@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import sections
-from lexweave.functions.text import fix_spacing, normalize_block
+from lexweave.functions.text import strip
 from lexweave.operators import headings
 
 MAX_CHARS, OVERLAP = 2000, 250
@@ -77,22 +77,26 @@ def pieces(body: Column, limit: int = MAX_CHARS, overlap: int = OVERLAP) -> Colu
     return F.when(F.length(body) <= limit, F.array(body)).otherwise(cut(F.when(F.length(body) > limit, body)))
 
 
-def chunk(docs: DataFrame, run_ons: bool = True, limit: int = MAX_CHARS, overlap: int = OVERLAP, split: bool = True) -> DataFrame:
-    """Chunks of docs (document_id, title, text).
+def chunk(docs: DataFrame, run_ons: bool = True, limit: int = MAX_CHARS, overlap: int = OVERLAP, split: bool = True, ends: str = headings.LINE_ENDS) -> DataFrame:
+    """Chunks of docs (document_id, title, text), or of parts of documents with their order as part_no.
 
-    One shuffle by document_id: lines, paths and bodies are windows and groups of one document. A
-    document all of whose lines are headings gives its whole text, without a path.
+    Lines, paths and bodies come from blocks of lines (``headings.lines``); chunks are numbered by the sizes of
+    the groups before theirs. A document all of whose lines are headings gives its whole text, without a path.
     """
-    text = docs.select("document_id", "title", fix_spacing(normalize_block(F.col("text")), run_ons).alias("text"))
-    rows = headings.with_paths(headings.merge_numbers(headings.lines(text)))
-    bodies = headings.section_bodies(rows)
+    lines, heads = headings.grouped(headings.merge_numbers(headings.lines(docs, run_ons, ends)))
+    bodies = headings.bodies_of(lines, heads)
     cut = pieces(F.col("body"), limit, overlap) if split else F.array("body")
-    found = bodies.select("*", F.posexplode(cut).alias("piece_no", "piece"))
-    w = Window.partitionBy("document_id").orderBy("group", "piece_no")
+    bodies = bodies.withColumn("_pieces", cut)
+    w = Window.partitionBy("document_id").orderBy("group").rowsBetween(Window.unboundedPreceding, 0)
+    titles = docs.groupBy("document_id").agg(F.max("title").alias("title"))
+    # unsplit, a body is one piece, and which groups have one shows without their texts
+    sizes = bodies.select("document_id", "group", F.size("_pieces").alias("_n")) if split else headings.body_lines(lines).where(strip(F.col("line")) != "").groupBy("document_id", "group").agg(F.lit(1).alias("_n"))
+    before = sizes.withColumn("_first", F.sum("_n").over(w) - F.col("_n")).drop("_n").join(titles, "document_id")
+    found = bodies.join(before, ["document_id", "group"]).select("document_id", "group", "title", "path", "body", "_first", F.posexplode("_pieces").alias("piece_no", "piece"))
     own = sections.of_path(F.col("path"))
     amended = sections.amendments(F.col("body"))
     nested = F.size("path") > 1
-    out = found.withColumns({"chunk_index": (F.row_number().over(w) - 1).cast("int"), "_own": own, "amendments": amended}).join(docs.select("document_id", "title"), "document_id")
+    out = found.withColumns({"chunk_index": (F.col("_first") + F.col("piece_no")).cast("int"), "_own": own, "amendments": amended})
     label = headings.path_label(F.col("path"))
     return out.select(
         F.concat("document_id", F.lit("::"), F.lpad(F.col("chunk_index").cast("string"), 5, "0")).alias("chunk_id"),

@@ -4,7 +4,9 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from lexweave.functions.text import fix_spacing, normalize_block
 from lexweave.operators import chunking, headings
 from lexweave.operators import retrieval as R
 
@@ -79,3 +81,29 @@ def test_fusion_does_not_depend_on_order(spark):
     b = spark.createDataFrame(list(reversed(hits)), a.schema)
     key = lambda df: sorted((r["chunk_id"], r["fused_score"]) for r in df.collect())
     assert key(R.fuse(a, a)) == key(R.fuse(b, b))
+
+
+def test_parts_equal_whole_texts(spark, monkeypatch):
+    """Lines, merged numbers and chunks of documents in parts equal those of their joined texts, wherever blocks end."""
+    rng = random.Random(5)
+    shapes = ["337-", "A. Hurt", "B) ", "12", "7.", "Punishment of theft", "12 Title", "", " \t", "running words ,and:more", "thecourtshall sit", "(a) clause", "x\x1cy \x85", "CHAPTER II"]
+    parts, whole = [], []
+    for d in range(60):
+        texts = ["\n".join(rng.choice(shapes) for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(1, 12))]
+        places = sorted(rng.sample(range(30), len(texts)))
+        parts += [(f"d{d}", "T", p, t) for p, t in zip(places, texts, strict=True)]
+        whole.append((f"d{d}", "T", "\n".join(texts)))
+    a = spark.createDataFrame(parts, "document_id string, title string, part_no long, text string")
+    b = spark.createDataFrame(whole, "document_id string, title string, text string")
+    rows = lambda df, *cols: sorted(tuple(r[c] for c in cols) for r in df.collect())
+    want = rows(headings.lines(b).where("own"), "document_id", "line_no", "line")
+    plain = fix_spacing(normalize_block(F.col("text")))
+    assert want == rows(b.select("document_id", plain.alias("t")).where("t <> ''").select("document_id", F.posexplode(F.split("t", headings.LINE_ENDS, -1)).alias("line_no", "line")), "document_id", "line_no", "line")
+    merged = rows(headings.merge_numbers(headings.lines(b)), "document_id", "line_no", "line")
+    chunks = rows(chunking.chunk(b), "chunk_id", "section_label", "text", "title")
+    for size in (1, 3, 768):
+        monkeypatch.setattr(headings, "PARTS", size)
+        lines = headings.lines(a).cache()
+        assert rows(lines.where("own"), "document_id", "line_no", "line") == want
+        assert rows(headings.merge_numbers(lines), "document_id", "line_no", "line") == merged
+        assert rows(chunking.chunk(a), "chunk_id", "section_label", "text", "title") == chunks
