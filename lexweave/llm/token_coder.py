@@ -1,19 +1,20 @@
-"""Adaptive context-mixing range coder for token ids, many blocks at a time.
+"""Context-mixing range coder for token ids, many blocks at a time.
 
-A segment is a run of ids, cut into blocks of equal length. Its header holds the prior
-that every block starts from: order-0 frequencies, and for frequent ids the order-1
-frequencies of their followers. Every block is reset to that prior and has its own code
+A segment is a run of ids, cut into blocks of equal length. Its header holds what every
+block starts from: order-0 frequencies, for frequent ids the order-1 frequencies of their
+followers, and the mixing weights. Every block is reset to that and has its own code
 words and checksum, so any block can be decoded alone and damage stays within it. The
 blocks advance together, one id each per step, as lanes of numpy arrays; all arithmetic
-is on integers, so decoding repeats exactly what encoding did.
+of the coding is exact, so decoding repeats what encoding did.
 
 A block learns as it goes. Its order-2 table gives the id that followed the last two ids
 before, with a confidence. Whether that guess is right is predicted by logistic mixing of
-what order 0, order 1 and order 2 say of it, with weights and counters that adapt after
-every id. An id that was not guessed is coded by its order-1 frequency, and one that is
-no listed follower by its order-0 frequency; ids outside of the prior as two halves.
+what order 0, order 1 and order 2 say of it, with weights for each confidence that are
+fitted to the whole segment. An id that was not guessed is coded by its order-1 frequency,
+and one that is no listed follower by its order-0 frequency; ids outside of the prior as
+two halves. What doesn't depend on a block's state is worked out for many steps at once.
 
-Layout of a segment (little-endian): ``LWT2``, u32 ids, u32 block length, u32 blocks, u32
+Layout of a segment (little-endian): ``LWT3``, u32 ids, u32 block length, u32 blocks, u32
 bytes of the prior, u32 crc32 of the prior; the prior (zlib); for each block u32 code words
 and u32 crc32 of its ids (as u32); then the blocks' code words (u16) one after the other.
 """
@@ -26,14 +27,20 @@ from dataclasses import dataclass
 
 import numpy as np
 
-MAGIC, BLOCK, SLOTS = b"LWT2", 2048, 2048
+MAGIC, BLOCK, SLOTS = b"LWT3", 2048, 2048
 #: Ids and contexts that a prior lists at most, followers of a context, and how often a context or a pair must occur.
 IDS, CONTEXTS, FOLLOWERS, OFTEN, TWICE = 1 << 15, 4096, 1024, 24, 2
 T0, T1 = 1 << 16, 1 << 12
 _P = np.arange(1, 4096)
 STRETCH = np.concatenate([[-2047], np.clip(np.round(np.log(_P / (4096 - _P)) * 256), -2047, 2047), [2047]]).astype(np.int64)
-SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 8, 3584).astype(np.int64)
-U16, U24, U32, LOW32 = np.uint64(16), np.uint64(24), np.uint64(1 << 32), np.uint64(0xFFFFFFFF)
+SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 8, 4064).astype(np.int64)
+#: What order 0 and order 1 say of a guess, in 64 steps each, makes its cell.
+LEVEL = np.arange(64) * 64 - 2016
+#: Change of a guess's confidence (low bits of the index) after it was wrong and after it was right.
+STEP = np.array([*((c >> 1) - c for c in range(16)), *(min(c + 1, 15) - c for c in range(16))], np.int32)
+LOW32 = (1 << 32) - 1
+#: Elements that are worked out at once, few enough for the caches.
+PART = 1 << 15
 
 
 def _shares(counts: np.ndarray, sizes: np.ndarray, total: int) -> np.ndarray:
@@ -62,10 +69,16 @@ class Prior:
     size: np.ndarray  # entries of each row
     follower: np.ndarray  # symbol of each entry; of an escape, len(ids) + 1
     width1: np.ndarray
+    weight: np.ndarray  # for each confidence, what order 2 says and the weights of orders 0 and 1
 
     @classmethod
     def learn(cls, run: np.ndarray) -> Prior:
-        known, counts = np.unique(run, return_counts=True)
+        if int(run.max()) < 1 << 20:
+            counts = np.bincount(run)
+            known = np.flatnonzero(counts)
+            counts = counts[known]
+        else:
+            known, counts = np.unique(run, return_counts=True)
         if len(known) > IDS:
             keep = np.sort(np.lexsort((known, -counts))[:IDS])
             known, counts = known[keep], counts[keep]
@@ -97,7 +110,7 @@ class Prior:
         follower, weight = np.full(len(entry), n + 1), np.empty(len(entry), np.int64)
         follower[entry], weight[entry] = pair % (n + 1), often
         weight[first] = np.maximum(rest, 1)
-        return cls(known, np.roll(order0, -1), np.append(n, heads), size, follower, _shares(weight, size, T1))
+        return cls(known, np.roll(order0, -1), np.append(n, heads), size, follower, _shares(weight, size, T1), np.zeros((16, 3), np.int64))
 
     def dump(self) -> bytes:
         gap = lambda a: np.diff(a, prepend=0)
@@ -105,7 +118,7 @@ class Prior:
         step[np.cumsum(self.size) - self.size] = 0  # followers ascend within a row
         first = np.cumsum(self.size) - self.size
         step[first[self.size > 1] + 1] = self.follower[first[self.size > 1] + 1]
-        parts = [gap(self.ids), self.width0, gap(self.context[1:]), self.size, step, self.width1]
+        parts = [gap(self.ids), self.width0, gap(self.context[1:]), self.size, step, self.width1, self.weight.ravel() & LOW32]
         return zlib.compress(struct.pack("<II", len(self.ids), len(self.size)) + b"".join(map(_planes, parts)), 6)
 
     @classmethod
@@ -121,12 +134,12 @@ class Prior:
             return a
 
         ids, width0, context, size = np.cumsum(take(n)), take(n + 1), np.cumsum(take(rows - 1)), take(rows)
-        step, width1 = take(int(size.sum())), take(int(size.sum()))
+        step, width1, weight = take(int(size.sum())), take(int(size.sum())), take(48)
         first = np.cumsum(size) - size
         total = np.cumsum(step)
         follower = total - np.repeat(total[first], size)
         follower[first] = n + 1
-        return cls(ids, width0, np.append(n, context), size, follower, width1)
+        return cls(ids, width0, np.append(n, context), size, follower, width1, weight.astype(np.int32).astype(np.int64).reshape(16, 3))
 
     def ready(self) -> Prior:
         """Adds the lookup tables that both directions need."""
@@ -136,12 +149,35 @@ class Prior:
         self.start1 %= T1
         self.row = np.zeros(n + 2, np.int64)
         self.row[self.context[1:]] = np.arange(1, len(self.size))
-        self.of = np.repeat(self.context, self.size)
-        self.of[self.first] = -1  # an escape is no guess
+        of = np.repeat(self.context, self.size)
+        of[self.first] = n + 2  # an escape is no guess
         share = np.append(self.width0 >> 4, 0)[self.follower]
-        self.say0, self.say1 = STRETCH[np.minimum(share, 4095)], STRETCH[self.width1]
+        say0, say1 = STRETCH[np.minimum(share, 4095)], STRETCH[self.width1]
+        self.guess_of = (of << 12 | say0 + 2048 >> 6 << 6 | say1 + 2048 >> 6).astype(np.int32)  # context and cell
+        self.entry = self.follower << 26 | self.start1 << 13 | self.width1
         return self
 
+    def fit(self, cell: np.ndarray, hit: np.ndarray) -> None:
+        """Set the weights from how guesses of each cell and confidence (cell * 16 + confidence) went, by Newton's steps."""
+        n, k = (np.bincount(c, minlength=1 << 16).reshape(1 << 12, 16) for c in (cell, cell[hit]))
+        say = np.stack([np.ones(1 << 12), np.repeat(LEVEL, 64) / 256, np.tile(LEVEL, 64) / 256])
+        square = (say[:, None] * say).reshape(9, -1)
+        w = np.zeros((16, 3))
+        w[:, 0] = np.log((k.sum(0) + 0.5) / ((n - k).sum(0) + 0.5))
+        center = w.copy()
+        for _ in range(5):
+            p = 1 / (1 + np.exp(-np.clip(np.einsum("cf,fx->xc", w, say), -8, 8)))
+            slope = np.einsum("fx,xc->cf", say, k - n * p) - 4 * (w - center)
+            bend = np.einsum("fx,xc->cf", square, n * p * (1 - p)).reshape(16, 3, 3) + 4 * np.eye(3)
+            w = np.clip(w + np.clip(np.linalg.solve(bend, slope[..., None])[..., 0], -2, 2), -8, 8)
+        self.weight = np.round(w * [256, 1 << 12, 1 << 12]).astype(np.int64)
+
+    def chances(self) -> np.ndarray:
+        """The chance, out of T1, that a guess is right, by cell * 16 + confidence."""
+        say0, say1 = np.repeat(LEVEL, 64)[:, None], np.tile(LEVEL, 64)[:, None]
+        dot = self.weight[:, 0] + (self.weight[:, 1] * say0 + self.weight[:, 2] * say1 >> 12)
+        return SQUASH[np.clip(dot, -2047, 2047) + 2047].ravel().astype(np.int32)
+
 
 def symbols(run: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Indices into known, len(known) for ids that are not there."""
@@ -150,107 +186,103 @@ def symbols(run: np.ndarray, known: np.ndarray) -> np.ndarray:
     if int(known[-1]) < 1 << 20:
         table = np.full(1 << 20, len(known))
         table[known] = np.arange(len(known))
-        return np.where(run < 1 << 20, table[np.minimum(run, (1 << 20) - 1)], len(known))
+        return table[run] if int(run.max()) < 1 << 20 else np.where(run < 1 << 20, table[np.minimum(run, (1 << 20) - 1)], len(known))
     at = np.minimum(np.searchsorted(known, run), len(known) - 1)
     return np.where(known[at] == run, at, len(known))
 
 
-class Mixer:
-    """What n blocks learn: order-2 guesses (entries of the prior), their counters, and the mixing weights."""
-
-    def __init__(self, n: int, prior: Prior):
-        self.prior, self.base, self.counter_base = prior, np.arange(n) * SLOTS, np.arange(n) * 16
-        self.table = np.zeros(n * SLOTS, np.int32)  # entry * 16 + confidence
-        self.right = np.full(n * 16, T0 // 2, np.int64)  # chance that a guess of that confidence is right
-        self.weight = [np.full(n, w, np.int64) for w in (6_000, 20_000, 40_000)]
-        self.last, self.before = np.full(n, len(prior.ids)), np.full(n, len(prior.ids))
-
-    def guess(self) -> tuple[np.ndarray, np.ndarray]:
-        """The guessed entries (-1: none) and the chances, out of T1, that they are right."""
-        self.at = self.base + ((self.last * 0x9E35 + self.before * 0x6C8D) >> 4 & SLOTS - 1)
-        held = self.table[self.at]
-        entry, self.sure = held >> 4, held & 15
-        self.valid = self.prior.of[entry] == self.last
-        self.counter = self.counter_base + self.sure
-        self.says = (self.prior.say0[entry], self.prior.say1[entry], STRETCH[self.right[self.counter] >> 4])
-        dot = self.weight[0] * self.says[0]
-        dot += self.weight[1] * self.says[1]
-        dot += self.weight[2] * self.says[2]
-        dot >>= 16
-        np.clip(dot, -2047, 2047, out=dot)
-        dot += 2047
-        self.p = SQUASH[dot] * self.valid
-        self.entry = np.where(self.valid, entry, -1)
-        return self.entry, self.p
-
-    def learn(self, entry: np.ndarray, symbol: np.ndarray) -> None:
-        hit = entry == self.entry
-        err = ((hit.astype(np.int64) << 12) - self.p) * (self.valid * 6)
-        for w, x in zip(self.weight, self.says, strict=True):
-            w += x * err + 0x2000 >> 14
-        was = self.right[self.counter]
-        self.right[self.counter] = was + ((np.where(hit, T0 - 64, 64) - was >> 4) * self.valid)
-        self.table[self.at] = np.where(hit, entry * 16 + np.minimum(self.sure + 1, 15), np.where(self.valid & (self.sure > 1), self.entry * 16 + (self.sure >> 1), entry * 16 + 1))
-        self.before, self.last = self.last, symbol
+def _slot(last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Where in a block's order-2 table the guess for two ids is."""
+    return last * 0x9E35 + before * 0x6C8D >> 4 & SLOTS - 1
+
+
+def _learnt(held: np.ndarray, entry: np.ndarray, sure: np.ndarray, valid: np.ndarray, hit: np.ndarray, came: np.ndarray) -> np.ndarray:
+    """What a slot holds after the entry that came: a right guess gains confidence, a wrong one loses half of it or its place."""
+    stay = sure > 1
+    stay &= valid
+    stay |= hit
+    return np.where(stay, held + STEP.take(sure + (hit << np.int32(4)), mode="clip"), (came << 4) + 1)
 
 
 class Encoder:
     """Range coders side by side: 48 bits of low, carries kept as bit 16 of the words until the end."""
 
     def __init__(self, n: int, steps: int):
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, 1 << 48, np.uint64)
-        self.out, self.size = np.zeros((n, steps // 2 + 64), np.uint32), np.zeros(n, np.int64)
+        self.low, self.range = np.zeros(n, np.int64), np.full(n, 1 << 48, np.int64)
+        self.wide = steps // 2 + 64
+        self.out, self.at, self.size = np.zeros(n * self.wide, np.uint32), np.arange(n) * self.wide, np.zeros(n, np.int64)
 
-    def put(self, start: np.ndarray, width: np.ndarray, bits: np.uint64, lanes: np.ndarray | slice = slice(None)) -> None:
+    def put(self, start: np.ndarray, width: np.ndarray, bits: int) -> None:
+        part = self.range >> bits
+        self.low += part * start
+        np.multiply(part, width, out=self.range)
+        self.shift((self.range <= LOW32).nonzero()[0])
+
+    def put_some(self, lanes: np.ndarray, start: np.ndarray, width: np.ndarray, bits: int) -> None:
         part = self.range[lanes] >> bits
-        self.low[lanes] += part * start.astype(np.uint64)
-        self.range[lanes] = part * width.astype(np.uint64)
-        self.shift(np.flatnonzero(self.range < U32))
+        self.low[lanes] += part * start
+        part *= width
+        self.range[lanes] = part
+        self.shift(lanes[part <= LOW32])
 
     def shift(self, lanes: np.ndarray) -> None:
         if len(lanes):
-            low, at = self.low[lanes], self.size[lanes]
-            if at.max() >= self.out.shape[1]:
-                self.out = np.concatenate([self.out, np.zeros_like(self.out)], 1)
-            self.out[lanes, at] = low >> np.uint64(32)
-            self.low[lanes] = (low & LOW32) << U16
-            self.range[lanes] <<= U16
-            self.size[lanes] = at + 1
+            low, size = self.low.take(lanes), self.size.take(lanes)
+            if int(size.max()) >= self.wide:
+                self.out = np.concatenate([self.out.reshape(-1, self.wide)] * 2, 1).ravel()
+                self.at, self.wide = self.at * 2, self.wide * 2
+            self.out[self.at.take(lanes) + size] = low >> 32
+            self.low[lanes] = (low & LOW32) << 16
+            self.range[lanes] <<= 16
+            self.size[lanes] = size + 1
 
     def finish(self) -> list[bytes]:
         for _ in range(3):
             self.shift(np.arange(len(self.low)))
-        words = self.out[:, : int(self.size.max())]
-        for k in range(words.shape[1] - 1, 0, -1):
-            words[:, k - 1] += words[:, k] >> 16
-        words = words.astype("<u2")
+        words = self.out.reshape(-1, self.wide)[:, : int(self.size.max())].T.copy()
+        for k in range(len(words) - 1, 0, -1):
+            words[k - 1] += words[k] >> 16
+        words = words.T.astype("<u2")
         return [words[i, :s].tobytes() for i, s in enumerate(self.size.tolist())]
 
 
 class Decoder:
     def __init__(self, streams: list[np.ndarray]):
         n = len(streams)
-        self.words = np.concatenate([*streams, np.zeros(4, "<u2")]).astype(np.uint64)
+        self.words = np.concatenate([*streams, np.zeros(4, "<u2")]).astype(np.int64)
         self.at = np.cumsum([0, *(len(s) for s in streams)])[:-1]
-        self.end = len(self.words) - 1
-        self.range, self.code = np.full(n, 1 << 48, np.uint64), np.zeros(n, np.uint64)
+        self.range, self.code = np.full(n, 1 << 48, np.int64), np.zeros(n, np.int64)
         for _ in range(3):
-            self.code = self.code << U16 | self.words[np.minimum(self.at, self.end)]
+            self.code = self.code << 16 | self.words.take(self.at, mode="clip")
             self.at = self.at + 1
 
-    def value(self, bits: np.uint64, lanes: np.ndarray | slice = slice(None)) -> np.ndarray:
-        self.part = self.range[lanes] >> bits
-        return np.minimum(self.code[lanes] // self.part, np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+    def value(self, bits: int) -> np.ndarray:
+        self.part = self.range >> bits
+        # exact: quotients of less than 2**24 by divisors of at most 2**32 stay clear of the next whole number
+        return np.minimum((self.code / self.part).astype(np.int64), (1 << bits) - 1)
+
+    def take(self, start: np.ndarray, width: np.ndarray) -> None:
+        self.code -= self.part * start
+        np.multiply(self.part, width, out=self.range)
+        self.shift((self.range <= LOW32).nonzero()[0])
 
-    def take(self, start: np.ndarray, width: np.ndarray, lanes: np.ndarray | slice = slice(None)) -> None:
-        self.code[lanes] -= self.part * start.astype(np.uint64)
-        self.range[lanes] = self.part * width.astype(np.uint64)
-        low = np.flatnonzero(self.range < U32)
-        if len(low):
-            at = self.at[low]
-            self.code[low] = self.code[low] << U16 | self.words[np.minimum(at, self.end)]
-            self.range[low] <<= U16
-            self.at[low] = at + 1
+    def value_some(self, lanes: np.ndarray, bits: int) -> np.ndarray:
+        self.part, self.some = self.range.take(lanes) >> bits, self.code.take(lanes)
+        return np.minimum((self.some / self.part).astype(np.int64), (1 << bits) - 1)
+
+    def take_some(self, lanes: np.ndarray, start: np.ndarray, width: np.ndarray | int) -> None:
+        self.code[lanes] = self.some - self.part * start
+        self.part *= width
+        self.range[lanes] = self.part
+        self.shift(lanes[self.part <= LOW32])
+
+    def shift(self, lanes: np.ndarray) -> None:
+        if len(lanes):
+            at = self.at.take(lanes)
+            # less than the range, unless the block is damaged
+            self.code[lanes] = (np.minimum(self.code.take(lanes), LOW32) << 16) + self.words.take(at, mode="clip")
+            self.range[lanes] <<= 16
+            self.at[lanes] = at + 1
 
 
 def _grid(n: int, block: int) -> tuple[int, int]:
@@ -258,6 +290,32 @@ def _grid(n: int, block: int) -> tuple[int, int]:
     return -(-n // lanes), lanes
 
 
+def _entries(x: np.ndarray, last: np.ndarray, prior: Prior) -> np.ndarray:
+    """The entry of each symbol in the row of the one before, or that row's escape."""
+    other, out = len(prior.ids), np.empty(x.shape, np.int32)
+    real = np.ones(len(prior.follower), bool)
+    real[prior.first] = False
+    keys, places = (np.repeat(np.arange(len(prior.size)), prior.size) * (other + 2) + prior.follower)[real], np.flatnonzero(real)
+    width = len(prior.size) * (other + 2)
+    lookup = None
+    if width <= 1 << 25:
+        lookup = np.zeros(width, np.int32)
+        lookup[keys] = places
+    else:
+        keys, places = np.append(keys, np.iinfo(np.int64).max), np.append(places, 0)
+    n = max(1, PART // x.shape[1])
+    for t in range(0, len(x), n):
+        row = prior.row.take(last[t : t + n])
+        key = row * (other + 2) + x[t : t + n]
+        if lookup is not None:
+            e = lookup.take(key)
+        else:
+            at = np.searchsorted(keys, key)
+            e = np.where(keys[at] == key, places[at], 0)
+        out[t : t + n] = np.where(e == 0, prior.first.take(row), e)
+    return out
+
+
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """A segment holding these ids (each of 32 bits, unsigned)."""
     n = len(ids)
@@ -270,44 +328,57 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     padded[:n] = ids
     prior = Prior.learn(padded).ready()
     other = len(prior.ids)
-    x = symbols(padded, prior.ids).reshape(lanes, steps).T.copy()
-    row = prior.row[np.vstack([np.full((1, lanes), other), x[:-1]])]
-    # the entry of each id in its context's row, or the row's escape
-    keys = np.append(prior.row[prior.of] * (other + 2) + prior.follower, np.iinfo(np.int64).max)
-    keys[prior.first] = np.arange(len(prior.first)) * (other + 2) - 1  # ahead of the row's followers
-    entries = np.empty((steps, lanes), np.int32)
-    width = (len(prior.size) + 1) * (other + 2)
-    if width <= 1 << 25:
-        lookup = np.zeros(width, np.int32)
-        real = np.ones(len(prior.follower), bool)
-        real[prior.first] = False
-        lookup[keys[:-1][real]] = np.flatnonzero(real)
-        for t in range(steps):
-            e = lookup[row[t] * (other + 2) + x[t]]
-            entries[t] = np.where(e == 0, prior.first[row[t]], e)
-    else:
-        for t in range(steps):
-            key = row[t] * (other + 2) + x[t]
-            e = np.searchsorted(keys, key)
-            entries[t] = np.where(keys[e] == key, e, prior.first[row[t]])
-    del row
-    wide = padded.reshape(lanes, steps).T
-    model, coder = Mixer(lanes, prior), Encoder(lanes, steps)
+    x = np.full((steps + 2, lanes), other, np.int32)  # led by what stands before a block
+    x[2:] = symbols(padded, prior.ids).reshape(lanes, steps).T
+    before, last, x = x[:-2], x[1:-1], x[2:]
+    entries = _entries(x, last, prior)
+    # the order-2 guesses, step by step
+    held, table, base = np.empty((steps, lanes), np.int32), np.zeros(lanes * SLOTS, np.int32), np.arange(lanes) * SLOTS
+    context = prior.guess_of >> 12
     for t in range(steps):
-        e = entries[t].astype(np.int64)
-        guess, p = model.guess()
-        hit = e == guess
+        at = base + _slot(last[t], before[t])
+        h = table.take(at, out=held[t], mode="clip")
+        entry = h >> 4
+        valid = context.take(entry, mode="clip") == last[t]
+        hit = entry == entries[t]
+        hit &= valid
+        table[at] = _learnt(h, entry, h & 15, valid, hit, entries[t])
+    # the mixing weights, and with them the intervals of all ids
+    flat_held, flat_came, flat_last = held.reshape(-1), entries.reshape(-1), last.reshape(-1)
+    start, width, cell = np.empty(steps * lanes, np.int32), np.empty(steps * lanes, np.int32), np.empty(steps * lanes, np.int32)
+    hits, valids = np.empty(steps * lanes, bool), np.empty(steps * lanes, bool)
+    parts = [slice(k, k + PART) for k in range(0, steps * lanes, PART)]
+    for k in parts:
+        entry = flat_held[k] >> 4
+        of = prior.guess_of.take(entry)
+        valids[k] = of >> 12 == flat_last[k]
+        cell[k] = ((of & 4095) << 4) + (flat_held[k] & 15)
+        hits[k] = (entry == flat_came[k]) & valids[k]
+    prior.fit(cell[valids], hits[valids])
+    chance = prior.chances()
+    escape = np.zeros(steps * lanes, bool)
+    for k in parts:
+        p, came = chance.take(cell[k]) * valids[k], prior.entry.take(flat_came[k])
         left = T1 - p
-        coder.put(np.where(hit, 0, p * T1 + left * prior.start1[e]), np.where(hit, p * T1, left * prior.width1[e]), U24)
-        rest = np.flatnonzero(prior.of[e] < 0)
-        if len(rest):
-            s = x[t, rest]
-            coder.put(prior.start0[s], prior.width0[s], U16, rest)
-            raw = rest[s == other]
-            if len(raw):
-                for half in (wide[t, raw] >> 16, wide[t, raw] & 0xFFFF):
-                    coder.put(half, np.ones(len(raw), np.int64), U16, raw)
-        model.learn(e, x[t])
+        start[k] = np.where(hits[k], 0, p * T1 + left * (came >> 13 & T1 - 1))
+        width[k] = np.where(hits[k], p * T1, left * (came & 2 * T1 - 1))
+        escape[k] = came >> 26 == other + 1
+    start, width = start.reshape(steps, lanes), width.reshape(steps, lanes)
+    where = np.flatnonzero(escape)
+    cuts = np.searchsorted(where, np.arange(steps + 1) * lanes).tolist()
+    rest, symbol = where % lanes, x.reshape(-1)[where]
+    start0, width0, unlisted = prior.start0.take(symbol), prior.width0.take(symbol), symbol == other
+    any_raw = np.logical_or.reduceat(np.append(unlisted, False), cuts[:-1]).tolist()
+    wide, coder = padded.reshape(lanes, steps), Encoder(lanes, steps)
+    for t in range(steps):
+        coder.put(start[t], width[t], 24)
+        if cuts[t] < cuts[t + 1]:
+            k = slice(cuts[t], cuts[t + 1])
+            coder.put_some(rest[k], start0[k], width0[k], 16)
+            if any_raw[t]:
+                raw = rest[k][unlisted[k]]
+                for half in (wide[raw, t] >> 16, wide[raw, t] & 0xFFFF):
+                    coder.put_some(raw, half, np.ones(len(raw), np.int64), 16)
     codes, plain, head = coder.finish(), ids.astype("<u4").tobytes(), prior.dump()
     sums = b"".join(struct.pack("<II", len(c) // 2, zlib.crc32(plain[4 * k * steps : 4 * (k + 1) * steps])) for k, c in enumerate(codes))
     return MAGIC + struct.pack("<IIIII", n, steps, lanes, len(head), zlib.crc32(head)) + head + sums + b"".join(codes)
@@ -327,34 +398,49 @@ def decode(segment: bytes, damaged: list[int] | None = None) -> np.ndarray:
     other = len(prior.ids)
     head = np.frombuffer(segment, "<u4", 2 * lanes, 24 + size).reshape(lanes, 2)
     words = np.frombuffer(segment, "<u2", -1, 24 + size + 8 * lanes)
-    coder, model = Decoder(np.split(words, np.cumsum(head[:, 0].astype(np.int64))[:-1])), Mixer(lanes, prior)
+    coder = Decoder(np.split(words, np.cumsum(head[:, 0].astype(np.int64))[:-1]))
     slot0 = np.repeat(np.arange(other + 1, dtype=np.int32), prior.width0)
     local = np.arange(len(prior.follower)) - np.repeat(prior.first, prior.size)
     slot1 = np.repeat(local.astype(np.uint16), prior.width1)
-    known = np.append(prior.ids, 0)
+    known, chance = np.append(prior.ids, 0), prior.chances()
+    first, row = prior.first.take(prior.row), prior.row * T1
     grid = np.zeros((steps, lanes), np.int64)
+    table, base = np.zeros(lanes * SLOTS, np.int32), np.arange(lanes) * SLOTS
+    last = before = np.full(lanes, other, np.int32)
     for t in range(steps):
-        guess, p = model.guess()
-        v = coder.value(U24)
-        flag = p * T1
+        at = base + _slot(last, before)
+        held = table.take(at, mode="clip")
+        entry, sure = held >> 4, held & 15
+        of = prior.guess_of.take(entry, mode="clip")
+        valid = of >> 12 == last
+        p = chance.take(((of & 4095) << 4) + sure, mode="clip")
+        p *= valid
+        flag, left = p << 12, T1 - p
+        v = coder.value(24)
         hit = v < flag
-        left = T1 - p
-        row = prior.row[model.last]
-        e = np.where(hit, guess, prior.first[row] + slot1[row * T1 + np.maximum(v - flag, 0) // left])
-        coder.take(np.where(hit, 0, flag + left * prior.start1[e]), np.where(hit, flag, left * prior.width1[e]))
-        x = prior.follower[e]
-        rest = np.flatnonzero(prior.of[e] < 0)
+        v -= flag
+        np.maximum(v, 0, out=v)
+        v = (v / left).astype(np.int64)
+        v += row.take(last)
+        e = np.where(hit, entry, first.take(last) + slot1.take(v, mode="clip"))
+        came = prior.entry.take(e, mode="clip")
+        coder.take(np.where(hit, 0, flag + left * (came >> 13 & T1 - 1)), np.where(hit, flag, left * (came & 2 * T1 - 1)))
+        x = (came >> 26).astype(np.int32)
+        rest = (x > other).nonzero()[0]
+        raw = ()
         if len(rest):
-            s = slot0[coder.value(U16, rest)].astype(np.int64)
-            coder.take(prior.start0[s], prior.width0[s], rest)
+            s = slot0.take(coder.value_some(rest, 16))
+            coder.take_some(rest, prior.start0.take(s), prior.width0.take(s))
             x[rest] = s
-        grid[t] = known[x]
-        if len(rest) and len(raw := rest[x[rest] == other]):
+            raw = rest[s == other]
+        known.take(x, out=grid[t], mode="clip")
+        if len(raw):
             for _ in range(2):
-                half = coder.value(U16, raw)
-                coder.take(half, np.ones(len(raw), np.int64), raw)
+                half = coder.value_some(raw, 16)
+                coder.take_some(raw, half, 1)
                 grid[t, raw] = (grid[t, raw] << 16) + half
-        model.learn(e, x)
+        table[at] = _learnt(held, entry, sure, valid, hit, e.astype(np.int32))
+        before, last = last, x
     ids = grid.T.reshape(-1)[:n]
     plain = ids.astype("<u4").tobytes()
     for k, want in enumerate(head[:, 1].tolist()):

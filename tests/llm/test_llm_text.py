@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,43 @@ def test_coder_beats_order_0(spark, library):
     assert 8 * len(raw) / len(ids) < 0.85 * -(share * np.log2(share)).sum()
 
 
+CUTS = ["a.\n\nOf the.\nOf x\n Y b  c  ", "end ", "it's café É, Über-x ǅ ɐb a1b2 x\tY\nZ.\nq\r\nA", "a <|endoftext|> b", "\nA", "naïve\u0301 ªº aª ", "Ġ a  Ġa ĠĠ", "a\0 b\0", " \0", "x \u3000y \xa0z \u2003 w", "a \n b \t c", "q" * 17 + " " + "w" * 33 + " " + "e" * 31 + " " + "r" * 15 + " " + "t" * 16, "'ll 'll a'll"]
+
+
+@pytest.mark.parametrize("cache_size", [1_500_000, 3])
+def test_cut_words_give_the_ids_of_whole_texts(library, cache_size):
+    tool = token_file.LibraryEncoder(queries.vocabulary(), cache_size)
+    for texts in (pa.array([*ODD, *CUTS, None]), pa.array(CUTS * 3).slice(5, 20), pa.array([None, ""]), pa.array([], pa.string())):
+        ids, counts = tool.batch(texts)
+        want = [library.encode(t or "", add_special_tokens=False).ids for t in texts.to_pylist()]
+        assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_a_known_word_is_not_encoded_again(library):
+    """The library's work is one for each distinct word, whatever stands beside it and wherever in a text it is."""
+    tool = token_file.LibraryEncoder(queries.vocabulary())
+    tool.batch(pa.array([". one, two.\nThree three\n"]))
+    asked = []
+    tool.library = lambda texts: asked.extend(texts) or [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    text = "Three two, three. one\nThree, two."
+    assert tool.batch(pa.array([text]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert not asked
+
+
+def test_random_code_words_stay_in_their_blocks():
+    rng = np.random.default_rng(8)
+    ids = rng.zipf(1.2, 20_000) % 5000
+    raw = bytearray(token_coder.encode(ids))
+    steps, lanes, head = (int.from_bytes(raw[k : k + 4], "little") for k in (8, 12, 16))
+    sizes = np.frombuffer(raw, "<u4", 2 * lanes, 24 + head)[::2].astype(int)
+    at = 24 + head + 8 * lanes + 2 * int(sizes[:3].sum())
+    raw[at : at + 2 * sizes[3]] = rng.bytes(2 * int(sizes[3]))
+    damaged = []
+    got = token_coder.decode(bytes(raw), damaged)
+    keep = np.arange(len(ids)) // steps != 3
+    assert damaged == [3] and (got[keep] == ids[keep]).all()
+
+
 def test_token_file(spark, tmp_path, library):
     docs = docs_of(spark, ODD)
     token_file.write_tokens(docs, str(tmp_path / "t"), queries.vocabulary(), segment=2000)
